@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Control and bidirectional marks that cleaning removes.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
@@ -27,17 +28,17 @@ def _bounded(words: str) -> str:
     return f"(?iu)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -190,6 +191,6 @@ def visible(source: str | None) -> str | None:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(sources: pd.Series) -> pd.Series:
     return sources.map(visible)

@@ -22,7 +22,7 @@ def read_artifacts(spark, path: str, limit: int = 5 << 20) -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), error.alias("error"), F.when(error.isNull(), body).alias("body"))
 
 
-def _finish(rows: DataFrame, keys: list[str], reason: Column) -> DataFrame:
+def _finish(rows: DataFrame, reason: Column) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("complete", F.col("reason") == "complete")
 
 
@@ -43,7 +43,7 @@ def greenhouse(boards: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_ids")
         .otherwise("complete")
     )
-    return _finish(parsed.withColumn("listings", listing).drop("j", "body"), ["board"], reason)
+    return _finish(parsed.withColumn("listings", listing), reason).drop("j", "body")
 
 
 def lever(pages: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def lever(pages: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_ids")
         .otherwise("complete")
     )
-    out = _finish(grouped.withColumn("listings", listing), ["board"], reason)
+    out = _finish(grouped.withColumn("listings", listing), reason)
     next_skip = F.when(F.col("reason") == "pagination_incomplete", last["skip"] + PAGE)
     return out.withColumn("next_skip", next_skip).drop("pages", "bad")
 
@@ -85,7 +85,7 @@ def ashby(boards: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_ids")
         .otherwise("complete")
     )
-    return _finish(parsed.withColumn("listings", listing).drop("j", "body"), ["board"], reason)
+    return _finish(parsed.withColumn("listings", listing), reason).drop("j", "body")
 
 
 def normalize(listings: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from sievewright.operators.lifecycle import SEPARATION
 from sievewright.plans.shared import shared_folder
@@ -30,7 +31,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    schema = stream.schema.add("_batch", "int")
+    schema = stream.schema.add("_batch", IntegerType())
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/data")
 
 
