@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.linear import Rows, fit_cumulative, sigmoid
-from sievewright.llm.scratch import bounded_sample
+from sievewright.llm.scratch import labelled_sample
 from sievewright.llm.texts import U, mix, raw_bytes, slices
 
 DIMS_BITS = 14
@@ -62,9 +62,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(xs, pa.binary()), pa.array(vs, pa.binary())], ["grade", "x", "v"])
 
 
-def fit(rated: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> dict:
-    """``rated(doc_id, text, grade)`` -> model: weights shared by all grades, ordered thresholds, the grades."""
-    sample = bounded_sample(rated.where("grade is not null and text is not null"), rows, text_bytes)
+def fit(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> dict:
+    """``docs(doc_id, text)``, ``ratings(doc_id, grade)`` -> model: weights shared by all grades, ordered thresholds, the grades."""
+    sample = labelled_sample(docs.select("doc_id", "text").where("text is not null"), ratings.where("grade is not null"), rows, text_bytes)
     got = sample.select("text", F.col("grade").cast("int").alias("grade")).mapInArrow(_extract, "grade int, x binary, v binary").toPandas()
     grades = sorted(got["grade"].unique().tolist())
     if len(grades) < 2:
@@ -104,5 +104,4 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     Defined cases: null, empty and very short texts (under three symbols) get the lowest grade and are not
     accepted; unrated tables accept every other text; repeated rows are scored each; extra columns pass if asked for.
     """
-    rated = docs.select("doc_id", "text").join(labels.where("quality is not null").select("doc_id", F.col("quality").alias("grade")), "doc_id")
-    return score(docs, fit(rated), keep)
+    return score(docs, fit(docs, labels.select("doc_id", F.col("quality").alias("grade"))), keep)

@@ -49,11 +49,25 @@ def crc_part(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def _chosen(share: float) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
 def bounded_sample(docs: DataFrame, rows: int, text_bytes: int) -> DataFrame:
     """Rows chosen by a hash of ``doc_id`` so that about ``rows`` rows and ``text_bytes`` bytes of text are left at most.
 
     Used only to fit classifiers; every row is kept while the table is below both bounds.
     """
     count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, rows / max(count, 1), text_bytes / max(size or 0, 1))
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    return docs.where(_chosen(min(1.0, rows / max(count, 1), text_bytes / max(size or 0, 1))))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int) -> DataFrame:
+    """``docs`` joined to ``labels`` by ``doc_id``, a bounded sample as above.
+
+    The hash picks rows of both sides before they are joined, so that the join moves the sample's texts only.
+    """
+    labelled = labels.count()
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, rows / max(labelled, 1), text_bytes / max((size or 0) * min(1.0, labelled / max(count, 1)), 1))
+    return docs.where(_chosen(share)).join(labels.where(_chosen(share)), "doc_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.linear import Rows, fit_logistic, sigmoid
-from sievewright.llm.scratch import bounded_sample, crc_part
+from sievewright.llm.scratch import crc_part, labelled_sample
 from sievewright.llm.texts import U, raw_bytes, slices, word_hashes, word_spans
 
 TERM_BITS = 20
@@ -87,14 +87,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     return post, right / (right + wrong), share
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> dict:
-    """``labelled(doc_id, text, label)`` -> the classifier: weights of hashed terms and a bias.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> dict:
+    """``docs(doc_id, text)``, ``labels(doc_id, label)`` -> the classifier: weights of hashed terms and a bias.
 
     Labels choose which terms are voters (terms that occur in toxic rows far above their share) and the
     prior; what each vote is worth comes from the label model, and its posterior trains the classifier.
     """
-    sample = bounded_sample(labelled.where("text is not null and label is not null").dropDuplicates(["text"]), rows, text_bytes)
-    got = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_extract, "label int, x binary, n binary, words bigint, shouted bigint").toPandas()
+    sample = labelled_sample(docs.where("text is not null"), labels.where("label is not null"), rows, text_bytes)
+    got = sample.dropDuplicates(["text"]).select("text", F.col("label").cast("int").alias("label")).mapInArrow(_extract, "label int, x binary, n binary, words bigint, shouted bigint").toPandas()
     dims, y = 1 << TERM_BITS, got["label"].to_numpy()
     xs = [np.frombuffer(b, np.uint32).astype(np.int64) for b in got["x"]]
     x = Rows(xs)
@@ -157,6 +157,6 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     scored each; without labels only the fixed words vote; extra columns and clashing names are ignored.
     """
     held = F.coalesce(crc_part(folds) == 0, F.lit(True)).alias("held_out")
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    learned = docs.select("doc_id", "text").where(crc_part(folds) != 0).join(known, "doc_id")
-    return score(docs.select("doc_id", "text", held), fit(learned))
+    known = labels.select("doc_id", F.col("toxic").alias("label")).where(crc_part(folds) != 0)
+    learned = docs.select("doc_id", "text").where(crc_part(folds) != 0)
+    return score(docs.select("doc_id", "text", held), fit(learned, known))
