@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +46,29 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
-def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens, the hashes of the words behind them (0 for literal words), and the first token of each text.
-
-    Words lose marks at their edges and case; what has no letter or digit is no token. A word with a digit
-    in front is a number; a capitalised word that begins no sentence is a name; unit words after a number are units.
-    """
-    data, offsets = raw_bytes(column)
+def _trimmed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of words without marks at their edges, and their texts; words of marks alone are left out."""
     starts, ends, first = word_spans(data, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     inner = np.flatnonzero(_INNER[data])
     a = np.searchsorted(inner, starts)
     b = np.searchsorted(inner, ends)
     some = b > a
+    return inner[a[some]], inner[b[some] - 1] + 1, doc[some]
+
+
+def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens, hashes of all words, which tokens are names, and the first token of each text.
+
+    Words lose marks at their edges and case; what has no letter or digit is no token. A word with a digit
+    in front is a number; a capitalised word that begins no sentence is a name; unit words after a number are units.
+    """
+    data, offsets = raw_bytes(column)
+    begin, last, doc = _trimmed(data, offsets)
     stops = np.r_[0, np.cumsum(_STOP[data] | (data == 10))]
-    begin, last, doc = inner[a[some]], inner[b[some] - 1] + 1, doc[some]
-    word = word_hashes(data, begin, last)
+    # case is folded for all letters; that may change lengths, so words are found anew
+    low, low_offsets = raw_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+    word = word_hashes(low, *_trimmed(low, low_offsets)[:2])
     before = np.r_[0, last[:-1]]
     opens = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
     opens = opens | (stops[begin] > stops[np.minimum(before, begin)])
@@ -69,7 +77,7 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word
     unit = known & np.r_[False, number[:-1]][: len(word)] & ~opens
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, word)))
-    return token, np.where(number | name | unit, word, U(0)), np.searchsorted(doc, np.arange(len(offsets)))
+    return token, word, name & ~unit, np.searchsorted(doc, np.arange(len(offsets)))
 
 
 def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,21 +91,37 @@ def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     return h[at], at, doc[at]
 
 
-def _slots(words: np.ndarray, at: np.ndarray, width: int) -> list[list[int]]:
-    return [[int(x) for x in words[i : i + width].view(np.int64) if x] for i in at.tolist()]
+def _slots(token: np.ndarray, word: np.ndarray, at: np.ndarray, width: int) -> list[list[int]]:
+    """The words that fill a window's placeholders."""
+    fill = np.where((token == NUMBER) | (token == UNIT) | (token == NAME), word, U(0)).view(np.int64)
+    return [[x for x in fill[i : i + width].tolist() if x] for i in at.tolist()]
+
+
+def readings(token: np.ndarray, word: np.ndarray, name: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A document's windows with names as placeholders, and those with names once more with them as words.
+
+    A passage that is put into the midst of a sentence begins with a capital that is no name.
+    """
+    h, at, doc = windows(token, first, width)
+    yield token, h, at, doc
+    named = np.r_[0, np.cumsum(name)]
+    plain = np.where(name, word, token)
+    h, at, doc = windows(plain, first, width)
+    some = named[at + width] > named[at]
+    yield plain, h[some], at[some], doc[some]
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Items of fewer words than a window are one window of all their words."""
     for batch in slices(batches, "text"):
-        token, words, first = canonical(batch.column("text"))
+        token, word, _, first = canonical(batch.column("text"))
         size = np.diff(first)
         for width in range(1, WIDTH + 1):
             h, at, doc = windows(token, first, width)
             own = size[doc] == width if width < WIDTH else size[doc] >= WIDTH
             h, at, doc = h[own], at[own], doc[own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(_slots(words, at, width), pa.list_(pa.int64()))],
+                [batch.column("item_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(_slots(token, word, at, width), pa.list_(pa.int64()))],
                 ["item_id", "window", "width", "item_slots"],
             )
 
@@ -131,17 +155,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         packed, widths, fewest = shared.value
         known = np.unpackbits(packed).view(bool)
         for batch in slices(batches, "text"):
-            token, words, first = canonical(batch.column("text"))
+            token, word, name, first = canonical(batch.column("text"))
             for width in widths:
-                h, at, doc = windows(token, first, width)
-                hit = known[(h >> U(64 - BITMAP_BITS)).astype(np.int64)]
-                h, at, doc = h[hit], at[hit], doc[hit]
-                if width == WIDTH and widths == [WIDTH]:
-                    # fewer windows than the shortest item needs cannot be a leak
-                    enough = np.bincount(doc, minlength=batch.num_rows)[doc] >= fewest
-                    h, at, doc = h[enough], at[enough], doc[enough]
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(_slots(words, at, width), pa.list_(pa.int64()))], ["doc_id", "window", "doc_slots"])
+                hits = []
+                for shown, h, at, doc in readings(token, word, name, first, width):
+                    hit = known[(h >> U(64 - BITMAP_BITS)).astype(np.int64)]
+                    hits.append((shown, h[hit], at[hit], doc[hit]))
+                # fewer windows than the shortest item needs cannot be a leak
+                few = fewest if widths == [WIDTH] else 0
+                enough = np.bincount(np.concatenate([x[3] for x in hits]), minlength=batch.num_rows) >= few
+                for shown, h, at, doc in hits:
+                    h, at, doc = h[enough[doc]], at[enough[doc]], doc[enough[doc]]
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))], ["doc_id", "window", "doc_slots"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window bigint, doc_slots array<bigint>").distinct()
     met = materialize(found.join(items.drop("width"), "window"))

@@ -96,10 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes:
     sample = labelled_sample(docs.where("text is not null"), labels.where("label is not null"), rows, text_bytes)
     got = sample.dropDuplicates(["text"]).select("text", F.col("label").cast("int").alias("label")).mapInArrow(_extract, "label int, x binary, n binary, words bigint, shouted bigint").toPandas()
     dims, y = 1 << TERM_BITS, got["label"].to_numpy()
-    xs = [np.frombuffer(b, np.uint32).astype(np.int64) for b in got["x"]]
-    x = Rows(xs)
-    toxic = y[x.row] == 1
-    pos, every = np.bincount(x.index[toxic], minlength=dims), np.bincount(x.index, minlength=dims)
+    xs = [np.frombuffer(b, np.uint32) for b in got["x"]]
+    index = np.concatenate(xs) if xs else np.zeros(0, np.uint32)
+    row = np.repeat(np.arange(len(xs), dtype=np.int32), [len(r) for r in xs])
+    pos, every = np.bincount(index[y[row] == 1], minlength=dims), np.bincount(index, minlength=dims)
     n, n1 = max(len(y), 1), int((y == 1).sum())
     seeds = np.unique(terms(pa.array([" ".join(SEEDS)]))[1][: len(SEEDS)])
     # evidence for a term: a z-score of its toxic occurrences against its share
@@ -113,11 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes:
     column = np.full(dims, -1)
     column[lexicon] = np.arange(len(lexicon))
     votes = np.zeros((len(y), len(lexicon) + 4), np.int8)
-    hit = column[x.index] >= 0
-    votes[x.row[hit], column[x.index[hit]]] = 1
-    times = np.concatenate([np.frombuffer(b, np.uint8) for b in got["n"]]) if len(got) else np.zeros(0)
-    distinct = np.bincount(x.row[hit], minlength=len(y))
-    total = np.bincount(x.row[hit], times[hit], len(y))
+    hit = column[index] >= 0
+    votes[row[hit], column[index[hit]]] = 1
+    times = np.concatenate([np.frombuffer(b, np.uint8) for b in got["n"]]) if xs else np.zeros(0, np.uint8)
+    distinct = np.bincount(row[hit], minlength=len(y))
+    total = np.bincount(row[hit], times[hit], len(y))
+    del index, row, hit, times
     # pattern voters: several terms, density of terms, none at all, shouting
     votes[:, -4] = np.where(distinct >= 2, 1, np.where(distinct == 0, -1, 0))
     votes[:, -3] = np.where(total > 0.02 * got["words"].to_numpy(), 1, np.where(total < 0.002 * got["words"].to_numpy(), -1, 0))
@@ -127,10 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes:
     # the classifier sees terms that tell labels apart, so that long texts do not add up noise
     useful = (np.abs(z) >= 4) & (every >= 3)
     useful[lexicon] = True
-    cut = useful[x.index]
-    rows_used = Rows([r[useful[r]] for r in xs]) if len(xs) else x
-    del cut
-    w, b = fit_logistic(rows_used, post, dims)
+    w, b = fit_logistic(Rows([r[useful[r]] for r in xs]), post, dims)
     return {"w": np.where(useful, w, 0).astype(np.float32), "b": b if len(y) else -3.0, "accuracy": accuracy, "share": share}
 
 
