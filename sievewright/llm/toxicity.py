@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes:
     # evidence for a term: a z-score of its toxic occurrences against its share
     expected = every * n1 / n
     z = (pos - expected) / np.sqrt(np.maximum(expected * (1 - n1 / n), 1e-9) + 0.25)
-    least = max(3, 0.004 * n1)
+    least = max(3, 0.01 * n1)
     fit_for = (pos >= least) & (pos >= 0.8 * every)
     mined = np.flatnonzero(fit_for)
     mined = mined[np.argsort(-z[mined], kind="stable")][:VOTERS]
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes:
     votes[:, -1] = np.where(got["shouted"].to_numpy() > 0.3 * got["words"].to_numpy(), 1, 0)
     post, accuracy, share = label_model(votes, min(0.5, max(0.01, n1 / n))) if len(y) else (np.zeros(0), np.zeros(0), np.zeros(0))
     # the classifier sees terms that tell labels apart, so that long texts do not add up noise
-    useful = (np.abs(z) >= 4) & (every >= 3)
+    useful = (np.abs(z) >= 5) & (every >= least)
     useful[lexicon] = True
     w, b = fit_logistic(Rows([r[useful[r]] for r in xs]), post, dims)
     return {"w": np.where(useful, w, 0).astype(np.float32), "b": b if len(y) else -3.0, "accuracy": accuracy, "share": share}
