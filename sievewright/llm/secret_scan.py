@@ -47,19 +47,10 @@ def _hot_window(candidate: str, least: str) -> str:
     return f"""aggregate(sequence(0, length({candidate}) - 1), named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'sum', 0D, 'lo', -1, 'hi', -1), (a, i) -> {judged}, a -> named_struct('lo', a.lo, 'hi', a.hi))"""
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``secrets``: ``array<struct<at, until, kind>>``, code points, end exclusive, by start and kind.
-
-    Kinds: ``assign`` (a named credential and a value of six characters or more), ``access`` and ``hex``
-    (long runs), and ``entropy``: windows of 20 characters of a candidate string whose Shannon entropy
-    reaches the least of the string's character class, unless the allow-list knows the string or a span of
-    another kind overlaps it. A base pattern's matches are found leftmost and without overlap on the whole
-    text; those that are too short are dropped after they have consumed what they matched.
-
-    Defined cases: null and empty texts have no spans; columns of any other name pass through unchanged.
-    """
-    text = F.coalesce("text", F.lit(""))
-    out = docs
+def _scan(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``text`` (null as empty) and ``secrets``; names of ``docs`` cannot clash."""
+    text = F.col("text")
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
         out = out.withColumn(f"_{name}_parts", F.split(text, pattern, -1))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
@@ -81,7 +72,22 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_added", F.when(F.size("_fresh") > 0, F.expr(added)).otherwise(F.array().cast("array<struct<at:int,rank:int,until:int,kind:string>>")))
     out = out.withColumn("_added", F.expr("filter(_added, x -> not exists(_base, y -> y.at < x.until and x.at < y.until))"))
     spans = F.expr("transform(array_sort(concat(_base, _added)), x -> named_struct('at', x.at, 'until', x.until, 'kind', x.kind))")
-    return out.select(*[docs[c] for c in docs.columns if c != "secrets"], spans.alias("secrets"))
+    return out.select("row", "text", spans.alias("secrets"))
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``secrets``: ``array<struct<at, until, kind>>``, code points, end exclusive, by start and kind.
+
+    Kinds: ``assign`` (a named credential and a value of six characters or more), ``access`` and ``hex``
+    (long runs), and ``entropy``: windows of 20 characters of a candidate string whose Shannon entropy
+    reaches the least of the string's character class, unless the allow-list knows the string or a span of
+    another kind overlaps it. A base pattern's matches are found leftmost and without overlap on the whole
+    text; those that are too short are dropped after they have consumed what they matched.
+
+    Defined cases: null and empty texts have no spans; a column ``secrets`` of ``docs`` is replaced, all others pass unchanged;
+    repeated rows are scanned each.
+    """
+    return _scan(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], "secrets")
 
 
 def joined(spans: str) -> Column:
@@ -91,13 +97,11 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span replaced by ``mark`` (overlapping spans by one) and ``n_chars`` set anew; other texts stay as they are."""
-    found = scan_secrets(docs)
     piece = f"""aggregate(secrets, named_struct('done', 0, 'out', ''), (a, x) -> named_struct(
         'done', greatest(a.done, x.until),
         'out', if(x.at < a.done, a.out, concat(a.out, substr(text, a.done + 1, x.at - a.done), '{mark}'))),
         a -> concat(a.out, substr(text, a.done + 1)))"""
-    clean = F.when(F.size("secrets") > 0, F.expr(piece)).otherwise(F.col("text"))
-    out = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    some = F.size("secrets") > 0
+    found = _scan(docs).withColumn("clean", F.when(some, F.expr(piece)).otherwise(F.col("row.text")))
+    new = {"text": F.col("clean"), "n_chars": F.when(some, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

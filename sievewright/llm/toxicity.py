@@ -55,6 +55,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(xs, pa.binary()), pa.array(ns, pa.binary()), pa.array(words), pa.array(shouted)], ["label", "x", "n", "words", "shouted"])
 
 
+def _correlations(rest: np.ndarray) -> np.ndarray:
+    """Absolute correlations of centred columns, 0 on the diagonal."""
+    spread = np.sqrt((rest**2).mean(0)) + 1e-9
+    corr = np.abs((rest.T @ rest) / len(rest) / spread[:, None] / spread[None, :])
+    np.fill_diagonal(corr, 0)
+    return corr
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1, and each voter's accuracy and weight, from votes in {-1, 0, 1} alone.
 
@@ -62,9 +70,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     estimated by expectation maximisation. Voters that correlate beyond what the label explains share
     their evidence: a voter's log odds are divided by one plus the sum of its residual correlations.
     """
-    n, m = votes.shape
-    share = np.ones(m)
-    post = np.clip(prior + 0.9 * np.sign((votes > 0).sum(1) - (votes < 0).sum(1)) * np.where((votes != 0).any(1), 1, 0), 0.02, 0.98)
+    m = votes.shape[1]
+    # voters that are all but copies of each other count as one from the start, or they would be taken for the label
+    copies = _correlations(votes - votes.mean(0))
+    alone = 1 / (1 + np.where(copies > 0.9, copies, 0).sum(1))
+    share = alone
+    post = np.clip(prior + 0.9 * np.sign(votes @ share), 0.02, 0.98)
     rates = np.zeros((2, 3, m))
     for turn in range(rounds):
         for y, weight in ((0, 1 - post), (1, post)):
@@ -75,10 +86,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
             # residual correlations of votes, within the labels as now estimated
             mean = [(votes * q[:, None]).sum(0) / q.sum() for q in (1 - post, post)]
             rest = votes - (1 - post)[:, None] * mean[0] - post[:, None] * mean[1]
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / n / spread[:, None] / spread[None, :]
-            np.fill_diagonal(corr, 0)
-            share = 1 / (1 + np.where(np.abs(corr) > 0.2, np.abs(corr), 0).sum(1))
+            corr = _correlations(rest)
+            share = np.minimum(alone, 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1)))
         p = np.clip(post.mean(), 0.005, 0.7)
         logit = np.log(p / (1 - p)) + ((np.log(rates[1]) - np.log(rates[0]))[votes + 1, np.arange(m)] * share).sum(1)
         post = sigmoid(logit)
