@@ -12,8 +12,9 @@ from sievewright.llm.scratch import materialize, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.where("accepted").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    judged = quality.classify(rows, table(spark, sf_dir, "labels"), keep=("row",))
+    return judged.where("accepted").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
