@@ -131,7 +131,7 @@ def trigram_similarity(spark, d):
 def search_items_fuzzy(spark, d):
     items = _items(spark, d).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("c_custkey").alias("company"), F.col("c_name").alias("company_name"), text.words(F.concat_ws(" ", "o_orderpriority", "n_name")).alias("tokens"), F.lit("active").alias("status"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("posted"))
     amounts = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("currency"), F.col("l_linestatus").alias("period"))
-    filters = search.Filters(q="urgent france or germany", least_compensation=20_000, currency="N", sort="relevance", limit=50)
+    filters = search.Filters(q="urgent or high", least_compensation=20_000, currency="N", sort="relevance", limit=50)
     return search.search(items, filters, amounts).select("id", "title", "relevance", "best_amount")
 
 
