@@ -33,6 +33,14 @@ def claim(jobs: DataFrame, as_of: str, limit: int) -> DataFrame:
     return due.orderBy("scheduled_at", F.col("priority").desc(), "id").limit(limit).withColumn("attempt", F.col("attempt") + 1).withColumn("generation", F.col("generation") + 1).withColumn("status", F.lit("leased"))
 
 
+def retention_claim(artifacts: DataFrame, as_of: str, limit: int, stale: str = "15 minutes") -> DataFrame:
+    """The next artifacts to delete, longest due first: present ones, failed ones, and those whose deletion began too long ago."""
+    now = F.lit(as_of).cast("timestamp")
+    stuck = (F.col("state") == "deleting") & (F.col("deletion_started_at") < now - F.expr(f"interval {stale}"))
+    due = artifacts.where((F.col("deletion_due_at") <= now) & (F.col("state").isin("present", "delete_failed") | stuck))
+    return due.orderBy("deletion_due_at", "created_at", "id").limit(limit).withColumn("state", F.lit("deleting")).withColumn("deletion_started_at", now)
+
+
 def pending_upsert(requests: DataFrame, key: str, priority: str, order: list[str], payload: str) -> DataFrame:
     """One pending request for a key: the greatest priority asked for, and what was first asked."""
     return requests.groupBy(key).agg(F.max(priority).alias("priority"), F.min_by(payload, F.struct(*order)).alias("payload"), F.count("*").alias("requests"))

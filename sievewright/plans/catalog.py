@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievewright.functions import digests, text, urls
+from sievewright.functions import digests, redaction, text, urls
 from sievewright.operators import lifecycle, queueing, relational, resolve, search, validate
 from sievewright.sources import boards
 from sievewright.streaming import twins
@@ -441,6 +441,18 @@ def orphan_reconcile(spark, d):
     return queueing.reconcile(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
+@query("""
+SELECT o_orderkey AS id, o_orderstatus AS was, 'deleting' AS state FROM orders
+WHERE o_orderdate <= TIMESTAMP '1996-01-01' AND (o_orderstatus IN ('F', 'P') OR o_orderstatus = 'O' AND o_orderdate + INTERVAL 1 DAY < TIMESTAMP '1995-12-31 23:45:00')
+ORDER BY o_orderdate, o_orderkey LIMIT 100
+""")
+def retention_due(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    state = F.when(F.col("o_orderstatus") == "O", "deleting").when(F.col("o_orderstatus") == "P", "delete_failed").otherwise("present")
+    artifacts = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("was"), state.alias("state"), at.alias("created_at"), at.alias("deletion_due_at"), (at + F.expr("interval 1 day")).alias("deletion_started_at"))
+    return queueing.retention_claim(artifacts, "1996-01-01", 100).select("id", "was", "state")
+
+
 # ---- text, URLs, identity ---------------------------------------------------------------------------------------------
 
 
@@ -610,6 +622,20 @@ def operational_alerts(spark, d):
     return validate.alerts(snapshot, ["n_nationkey"])
 
 
+@query("""
+SELECT event_id, '[REDACTED]' AS api_key, CASE event_id % 4
+    WHEN 0 THEN 'https://example.com/jobs/' || user_id || '?[REDACTED]'
+    WHEN 1 THEN '[REDACTED_SIGNED_URL]'
+    WHEN 2 THEN '[REDACTED_URL_TEXT]' ELSE event_type END AS note
+FROM events
+""")
+def redact_map(spark, d):
+    url = F.concat(F.lit("https://example.com/jobs/"), F.col("user_id"))
+    note = F.element_at(F.array(F.concat(url, F.lit("?q=1#top")), F.concat(url, F.lit("?sig=abc")), F.concat(F.lit("see "), url), F.col("event_type")), (F.col("event_id") % 4).cast("int") + 1)
+    fields = redaction.safe_fields(F.create_map(F.lit("api_key"), F.col("user_id").cast("string"), F.lit("note"), note))
+    return t(spark, d, "events").select("event_id", fields.alias("f")).select("event_id", F.col("f.api_key").alias("api_key"), F.col("f.note").alias("note"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_type NOT IN ('click', 'purchase') THEN 'unknown_event' WHEN event_type = 'purchase' THEN 'missing_property' END AS problem FROM events
 """)

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.functions import digests, text, urls
+from sievewright.functions import digests, redaction, text, urls
 
 
 def values(spark, rows, column, schema="v string"):
@@ -66,3 +66,21 @@ def test_set_hash_ignores_order(spark):
     df = spark.createDataFrame([(["a", "b"],), (["b", "a"],)], "v array<string>")
     assert df.select(digests.set_hash(F.col("v")).alias("h")).distinct().count() == 1
     assert spark.createDataFrame([(datetime(2024, 1, 1, 12),)], "t timestamp").select(digests.cadence_bucket(F.col("t"), 43_200)).first()[0] == 39_447 - 0
+
+
+def test_telemetry_fields(spark):
+    seen = [
+        ("note", "Bearer abcdefgh123", "[REDACTED]"),
+        ("note", "ghp_abcdefgh12345", "[REDACTED]"),
+        ("Session-Token", "x", "[REDACTED]"),
+        ("note", "https://u:p@example.com/", "[REDACTED_SIGNED_URL]"),
+        ("note", "https://example.com/a?b=1", "https://example.com/a?[REDACTED]"),
+        ("note", "https://example.com/a", "https://example.com/a"),
+        ("note", "see https://example.com/a", "[REDACTED_URL_TEXT]"),
+        ("note", "a" * 1500, "a" * 1000),
+        ("note", "", ""),
+        ("note", None, None),
+    ]
+    df = spark.createDataFrame([(i, {k: v}) for i, (k, v, _) in enumerate(seen)], "i int, f map<string,string>")
+    got = {r["i"]: r["g"] for r in df.select("i", redaction.safe_fields(F.col("f")).alias("g")).collect()}
+    assert [got[i][k] for i, (k, _, _) in enumerate(seen)] == [x for _, _, x in seen]

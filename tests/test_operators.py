@@ -112,3 +112,19 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
     got = {(r.a, r.b) for r in resolve.similar_pairs(df, "id", "s", 0.65).collect()}
     assert got == {(a, b) for a in sets for b in sets if a < b and round(2 * len({*sets[a]} & {*sets[b]}) / (len(sets[a]) + len(sets[b])), 4) >= 0.65}
+
+
+def test_retention_claim(spark):
+    day = "1996-01-01 12:00:00"
+    rows = [
+        (1, "present", "1996-01-01 11:00:00", None),
+        (2, "present", "1996-01-02 00:00:00", None),
+        (3, "deleting", "1996-01-01 10:00:00", "1996-01-01 11:44:59"),
+        (4, "deleting", "1996-01-01 10:00:00", "1996-01-01 11:45:00"),
+        (5, "delete_failed", "1996-01-01 09:00:00", "1996-01-01 11:59:00"),
+        (6, "deleted", "1996-01-01 09:00:00", None),
+    ]
+    df = spark.createDataFrame(rows, "id long, state string, due string, started string")
+    df = df.select("id", "state", F.col("due").cast("timestamp").alias("deletion_due_at"), F.col("due").cast("timestamp").alias("created_at"), F.col("started").cast("timestamp").alias("deletion_started_at"))
+    assert [r["id"] for r in queueing.retention_claim(df, day, 10).orderBy("deletion_due_at").collect()] == [5, 3, 1]
+    assert [r["id"] for r in queueing.retention_claim(df, day, 1).collect()] == [5]
