@@ -59,3 +59,28 @@ def versions(log: DataFrame, key: str, order: list[str], value: str) -> DataFram
     out = log.withColumn("is_new", F.row_number().over(same) == 1).withColumn("changed", ~F.lag(value).over(own).eqNullSafe(F.col(value)))
     out = out.withColumn("_nth", F.sum(F.col("is_new").cast("int")).over(own))
     return out.withColumn("version", F.first("_nth").over(same)).drop("_nth")
+
+
+def source_health(scans: DataFrame, key: str, order: list[str], reason: str, observed: str, tripped: str) -> DataFrame:
+    """A row per source after all its scans: ``health``, ``last_job_count``, ``last_complete_at``, ``last_nonempty_at`` and two counters.
+
+    The latest scan decides the health: quarantined if its breaker tripped, healthy if complete, else blocked or degraded.
+    ``consecutive_failures`` counts scans since the last complete one, ``complete_empty_scans`` complete scans that
+    saw nothing since the last complete one that saw something. ``order`` is a time and what settles its ties. Both
+    steps are aggregates, so a source with very many scans is combined before it is shuffled.
+    """
+    at, complete, seen = F.struct(*order), F.col(reason) == "complete", F.col(observed) > 0
+    marks = scans.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(complete, at)).alias("_good"), F.max(F.when(complete & seen, at)).alias("_full"))
+    health = F.when(F.col(tripped), "quarantined").when(complete, "healthy").when(F.col(reason) == "blocked", "blocked").otherwise("degraded")
+    return (
+        scans.join(marks, F.col(key).eqNullSafe(F.col("_key")))
+        .groupBy(key)
+        .agg(
+            F.max_by(health, at).alias("health"),
+            F.max_by(observed, at).alias("last_job_count"),
+            F.max(F.when(complete, F.col(order[0]))).alias("last_complete_at"),
+            F.max(F.when(seen, F.col(order[0]))).alias("last_nonempty_at"),
+            F.count_if(F.col("_good").isNull() | (at > F.col("_good"))).alias("consecutive_failures"),
+            F.count_if(complete & ~seen & (F.col("_full").isNull() | (at > F.col("_full")))).alias("complete_empty_scans"),
+        )
+    )

@@ -99,3 +99,15 @@ def project_evidence(assertions: DataFrame, target: str = "target") -> DataFrame
     order = W.partitionBy(target, "path").orderBy(F.coalesce("accepted", F.lit(False)).desc(), F.col("confidence").desc(), weight.desc(), "listing", "id")
     ranked = usable.withColumn("rank", F.row_number().over(order))
     return ranked.groupBy(target, "path").agg(F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("value"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("selected"), F.array_sort(F.collect_list("id")).alias("alternatives"))
+
+
+def merged_companies(companies: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``companies(id, status)``, ``decisions(source, canonical, operation, seq)`` -> ``id, canonical_id, status`` now, one hop deep.
+
+    The latest decision on a company holds: a merge makes it ``merged`` and points to the canonical company, a
+    split gives it back its own identity and the status it had before. Companies without decisions are their own.
+    """
+    latest = decisions.groupBy(F.col("source").alias("id")).agg(F.max_by(F.struct("operation", "canonical"), "seq").alias("d"))
+    merged = F.coalesce(F.col("d.operation") == "merge", F.lit(False))
+    out = companies.join(latest, "id", "left")
+    return out.select("id", F.when(merged, F.col("d.canonical")).otherwise(F.col("id")).alias("canonical_id"), F.when(merged, "merged").otherwise(F.col("status")).alias("status"))

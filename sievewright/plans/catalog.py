@@ -309,6 +309,25 @@ def miss_run_islands(spark, d):
     return isl.groupBy("user_id", "island").agg(F.count_if(~F.col("seen")).alias("misses"), F.min(F.when(~F.col("seen"), F.col("b"))).alias("first_missing")).where("misses > 0")
 
 
+@query("""
+WITH s AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'truncated' ELSE 'complete' END AS reason,
+    CASE WHEN value < 20 THEN 0 ELSE 10 END AS n, value > 95 AS tripped,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+m AS (SELECT user_id, max(i) AS latest, coalesce(max(i) FILTER (WHERE reason = 'complete'), 0) AS good, coalesce(max(i) FILTER (WHERE reason = 'complete' AND n > 0), 0) AS full_ FROM s GROUP BY 1)
+SELECT user_id, max(CASE WHEN i = latest THEN CASE WHEN tripped THEN 'quarantined' WHEN reason = 'complete' THEN 'healthy' WHEN reason = 'blocked' THEN 'blocked' ELSE 'degraded' END END) AS health,
+  max(CASE WHEN i = latest THEN n END)::INTEGER AS last_job_count, strftime(max(ts) FILTER (WHERE reason = 'complete'), '%Y-%m-%d %H:%M:%S') AS last_complete_at,
+  strftime(max(ts) FILTER (WHERE n > 0), '%Y-%m-%d %H:%M:%S') AS last_nonempty_at, count(*) FILTER (WHERE i > good)::BIGINT AS consecutive_failures,
+  count(*) FILTER (WHERE reason = 'complete' AND n = 0 AND i > full_)::BIGINT AS complete_empty_scans
+FROM s JOIN m USING (user_id) GROUP BY user_id
+""")
+def source_health(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    reason = F.when(kind == "error", "blocked").when(kind == "purchase", "truncated").otherwise("complete")
+    scans = t(spark, d, "events").select("user_id", "event_id", "ts", reason.alias("reason"), F.when(value < 20, 0).otherwise(10).alias("n"), (value > 95).alias("tripped"))
+    out = lifecycle.source_health(scans, "user_id", ["ts", "event_id"], "reason", "n", "tripped")
+    return out.withColumn("last_complete_at", stamp("last_complete_at")).withColumn("last_nonempty_at", stamp("last_nonempty_at"))
+
+
 @query("""
 WITH day AS (SELECT event_type, ts::DATE AS dt, count(*) AS n FROM events WHERE value > 90 GROUP BY 1, 2),
 l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY dt) AS p, 12 AS active FROM day)
@@ -600,6 +619,18 @@ def evidence_projection(spark, d):
     return resolve.project_evidence(a).withColumn("alternatives", F.array_join("alternatives", ","))
 
 
+@query("""
+WITH d AS (SELECT o_custkey AS id, arg_max(o_orderkey % 3 <> 0, o_orderkey) AS is_merge, max(o_orderkey) % 10 + 1 AS canonical FROM orders GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN is_merge THEN canonical ELSE c_custkey END AS canonical_id,
+  CASE WHEN is_merge THEN 'merged' WHEN c_acctbal < 0 THEN 'provisional' ELSE 'verified' END AS status FROM customer LEFT JOIN d ON id = c_custkey
+""")
+def company_merges(spark, d):
+    companies = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "provisional").otherwise("verified").alias("status"))
+    key = F.col("o_orderkey")
+    decisions = t(spark, d, "orders").select(F.col("o_custkey").alias("source"), (key % 10 + 1).alias("canonical"), F.when(key % 3 == 0, "split").otherwise("merge").alias("operation"), key.alias("seq"))
+    return resolve.merged_companies(companies, decisions)
+
+
 # ---- rules ------------------------------------------------------------------------------------------------------------
 
 

@@ -23,6 +23,20 @@ def test_breaker(spark):
     assert all(r.want == r.got for r in got)
 
 
+def test_source_health(spark):
+    scans = [(1, 1, "complete", 5, False), (1, 2, "complete", 0, False), (1, 3, "blocked", 0, False), (2, 1, "truncated", 4, False), (2, 2, "complete", 0, False), (3, 1, "complete", 9, True), (None, 1, "truncated", 1, False)]
+    table = spark.createDataFrame(scans, "k int, at int, reason string, n int, tripped boolean")
+    got = {r.k: tuple(r)[1:] for r in lifecycle.source_health(table, "k", ["at"], "reason", "n", "tripped").collect()}
+    assert got == {1: ("blocked", 0, 2, 1, 1, 1), 2: ("healthy", 0, 2, 1, 0, 1), 3: ("quarantined", 9, 1, 1, 0, 0), None: ("degraded", 1, None, 1, 1, 0)}
+
+
+def test_merged_companies(spark):
+    companies = spark.createDataFrame([(1, "verified"), (2, "provisional"), (3, "verified")], "id int, status string")
+    decisions = spark.createDataFrame([(2, 1, "merge", 1), (3, 1, "merge", 2), (2, 1, "split", 3)], "source int, canonical int, operation string, seq int")
+    got = {tuple(r) for r in resolve.merged_companies(companies, decisions).collect()}
+    assert got == {(1, 1, "verified"), (2, 2, "provisional"), (3, 1, "merged")}
+
+
 def test_streaming_lifecycle_equals_batch(spark, sf):
     events = twins.read_events(spark, sf)
     scans = events.select(F.col("user_id").alias("listing"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("seen"))
