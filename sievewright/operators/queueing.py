@@ -51,3 +51,24 @@ def reconcile(catalog: DataFrame, store: DataFrame, key: str) -> DataFrame:
     missing = catalog.select(key).distinct().join(store, key, "left_anti").withColumn("state", F.lit("missing"))
     orphan = store.select(key).distinct().join(catalog, key, "left_anti").withColumn("state", F.lit("orphan"))
     return missing.union(orphan)
+
+
+def lease_events(events: DataFrame, key: str, order: list[str], at: str, kind: str, generation: str, seconds: int = 300) -> DataFrame:
+    """Events of leases (``claim``, ``heartbeat``, ``succeed``, ``fail``) with ``outcome`` and ``expires_at`` after those accepted.
+
+    A claim opens a lease of ``seconds``, an accepted heartbeat renews it. An event is ``stale`` unless it names the
+    generation of the latest claim, comes before the lease ends, and follows no accepted end of it. A lease that ran
+    out is never revived, so the fold is a window: no gap between a lease's own events may reach its length.
+    """
+    own = W.partitionBy(key).orderBy(*order)
+    lease = W.partitionBy(key, "_lease").orderBy(*order)
+    run = W.partitionBy(key, "_lease", "_named").orderBy(*order)
+    out = events.withColumn("_lease", F.sum((F.col(kind) == "claim").cast("int")).over(own))
+    out = out.withColumn("_named", (F.col("_lease") > 0) & F.first(generation).over(lease).eqNullSafe(F.col(generation)))
+    micros = F.unix_micros(at)
+    out = out.withColumn("_late", F.coalesce(micros - F.lag(micros).over(run) >= seconds * 1_000_000, F.lit(False)))
+    ended = F.max(F.col(kind).isin("succeed", "fail")).over(run.rowsBetween(W.unboundedPreceding, -1))
+    accepted = F.col("_named") & ~F.max("_late").over(run) & ~F.coalesce(ended, F.lit(False))
+    out = out.withColumn("outcome", F.when(accepted, "accepted").otherwise("stale"))
+    until = F.when(accepted & F.col(kind).isin("claim", "heartbeat"), F.col(at) + F.make_interval(secs=F.lit(seconds)))
+    return out.withColumn("expires_at", until).drop("_lease", "_named", "_late")

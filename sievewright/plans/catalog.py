@@ -411,6 +411,22 @@ def fencing_generation(spark, d):
     return queueing.fenced(events, "user_id", ["ts", "event_id"], "gen", "is_claim").select("event_id", "in_force", "current")
 
 
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'heartbeat' END AS kind, event_id % 2 AS gen FROM events),
+l AS (SELECT *, sum(CASE WHEN kind = 'claim' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lease FROM e),
+n AS (SELECT *, lease > 0 AND gen = first_value(gen) OVER (PARTITION BY user_id, lease ORDER BY ts, event_id) AS named FROM l),
+g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 172800000000, false) AS late, coalesce(bool_or(kind IN ('succeed', 'fail')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM n WINDOW w AS (PARTITION BY user_id, lease, named ORDER BY ts, event_id)),
+a AS (SELECT *, named AND NOT ended AND NOT bool_or(late) OVER (PARTITION BY user_id, lease, named ORDER BY ts, event_id) AS ok FROM g)
+SELECT event_id, CASE WHEN ok THEN 'accepted' ELSE 'stale' END AS outcome, strftime(CASE WHEN ok AND kind IN ('claim', 'heartbeat') THEN ts + INTERVAL 2 DAY END, '%Y-%m-%d %H:%M:%S') AS expires_at FROM a
+""")
+def lease_outcomes(spark, d):
+    names = F.col("event_type")
+    kind = F.when(names == "signup", "claim").when(names == "purchase", "succeed").when(names == "error", "fail").otherwise("heartbeat")
+    events = t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("event_id") % 2).alias("gen"))
+    out = queueing.lease_events(events, "user_id", ["ts", "event_id"], "ts", "kind", "gen", 172_800)
+    return out.select("event_id", "outcome", stamp("expires_at").alias("expires_at"))
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id)::INTEGER AS nth, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3 AS allowed FROM events")
 def rate_limit_window(spark, d):
     return queueing.rate_limited(t(spark, d, "events"), "event_type", "ts", ["ts", "event_id"], 3, "hour").select("event_id", "nth", "allowed")

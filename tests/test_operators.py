@@ -30,6 +30,15 @@ def test_source_health(spark):
     assert got == {1: ("blocked", 0, 2, 1, 1, 1), 2: ("healthy", 0, 2, 1, 0, 1), 3: ("quarantined", 9, 1, 1, 0, 0), None: ("degraded", 1, None, 1, 1, 0)}
 
 
+def test_lease_events(spark):
+    log = [(0, 0, "heartbeat"), (1, 1, "claim"), (200, 1, "heartbeat"), (499, 1, "heartbeat"), (500, 2, "succeed"), (799, 1, "succeed"), (900, 2, "claim"), (901, 1, "heartbeat"), (950, 2, "fail"), (951, 2, "heartbeat")]
+    rows = [(7, T0 + timedelta(seconds=s), g, k) for s, g, k in log]
+    got = queueing.lease_events(spark.createDataFrame(rows, "job int, at timestamp, gen int, kind string"), "job", ["at"], "at", "kind", "gen").orderBy("at").collect()
+    # the lease renewed at 499 has ended by 799
+    assert [r.outcome == "accepted" for r in got] == [False, True, True, True, False, False, True, False, True, False]
+    assert got[3].expires_at == T0 + timedelta(seconds=799)
+
+
 def test_merged_companies(spark):
     companies = spark.createDataFrame([(1, "verified"), (2, "provisional"), (3, "verified")], "id int, status string")
     decisions = spark.createDataFrame([(2, 1, "merge", 1), (3, 1, "merge", 2), (2, 1, "split", 3)], "source int, canonical int, operation string, seq int")
