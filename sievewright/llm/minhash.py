@@ -13,11 +13,13 @@ from sievewright.llm.components import connected_components
 from sievewright.llm.scratch import discard, materialize
 from sievewright.llm.texts import U, grouped, local_components, mix, segment_sums, shingle_sets, slices
 
-#: Trees of the forest, permutations, and the prefix lengths at which a tree's order may be cut into regions.
+#: Trees of the forest, permutations, and the prefix length that makes rows of a tree's order one region.
 TREES, PERMUTATIONS = 24, 120
-DEPTHS = (5, 8, 12, 18, 27)
-#: A region of a sorted order that holds more rows is cut by a longer common prefix.
-REGION_ROWS = 64
+DEPTH = 5
+#: Rows of one block of a crowded region; a region is compared whole, in pairs of blocks if it holds more.
+REGION_BLOCK = 2048
+#: Groups of more rows are searched from row to row, smaller ones are compared all at once.
+SEARCHED = 64
 #: Slack of the signature's estimate below the threshold: four standard deviations.
 SLACK = 0.13
 #: Rows and shingles of one block of a large cluster.
@@ -26,17 +28,11 @@ BLOCK_ROWS, BLOCK_SHINGLES = 768, 1_000_000
 _RNG = np.random.default_rng(8128)
 _MUL = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 _ADD = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_MIX = _RNG.integers(1, 1 << 63, max(DEPTHS), dtype=np.uint64) * U(2) + U(1)
+_MIX = _RNG.integers(1, 1 << 63, DEPTH, dtype=np.uint64) * U(2) + U(1)
 
 
-def tree_order(tree: int) -> np.ndarray:
-    """The permutations by which a tree sorts: its own five first, then others in an order of its own."""
-    own = np.arange(DEPTHS[0] * tree, DEPTHS[0] * (tree + 1))
-    rest = np.setdiff1d(np.arange(PERMUTATIONS), own)
-    return np.r_[own, np.random.default_rng(tree).permutation(rest)][: max(DEPTHS)]
-
-
-_ORDERS = np.stack([tree_order(t) for t in range(TREES)])
+#: The permutations by which each tree sorts.
+_ORDERS = np.arange(TREES * DEPTH).reshape(TREES, DEPTH)
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,10 +47,10 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_key(sig: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
-    """A hash of the first ``depth`` values of each signature in its tree's order."""
-    picked = np.take_along_axis(sig, _ORDERS[tree][:, :depth], 1).astype(np.uint64)
-    return mix((picked * _MIX[:depth]).sum(1, dtype=np.uint64) + mix(tree.astype(np.uint64) * U(1000) + U(depth))).view(np.int64)
+def prefix_key(sig: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """A hash of the first values of each signature in its tree's order."""
+    picked = np.take_along_axis(sig, _ORDERS[tree], 1).astype(np.uint64)
+    return mix((picked * _MIX).sum(1, dtype=np.uint64) + mix(tree.astype(np.uint64))).view(np.int64)
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -80,40 +76,59 @@ def _sign(width: int, with_signature: bool = True):
     return run
 
 
-def _regions(depth: int, every_tree: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = _sigs(batch.column("sig"))
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)
-            if every_tree:
-                tree = np.tile(np.arange(TREES), len(rep))
-                sig, rep = np.repeat(sig, TREES, 0), np.repeat(rep, TREES)
-            else:
-                tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree.astype(np.int32)), pa.array(prefix_key(sig, tree, depth))], ["rep", "tree", "region"])
-
-    return run
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig, rep = _sigs(batch.column("sig")), batch.column("rep").to_numpy(zero_copy_only=False)
+        tree = np.tile(np.arange(TREES), len(rep))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, TREES)), pa.array(prefix_key(np.repeat(sig, TREES, 0), tree))], ["rep", "region"])
+
+
+def alike_star(sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph of rows whose signatures agree enough: every row is compared with all that are not reached yet."""
+    left, right = [], []
+    todo, rest = np.arange(len(sig)), sig
+    while len(todo) > 1:
+        front, todo, rest = [todo[0]], todo[1:], rest[1:]
+        while front and len(todo):
+            one = front.pop()
+            alike = (rest == sig[one]).mean(1) >= least
+            if alike.any():
+                found = todo[alike]
+                left.append(np.full(len(found), one))
+                right.append(found)
+                front.extend(found.tolist())
+                todo, rest = todo[~alike], rest[~alike]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _neighbours(least: float):
-    """Rows sorted by region: compare the signatures of rows that lie in one region, emit a spanning star of those alike."""
+    """Rows sorted by region and blocks: compare the signatures of all rows of a group, emit a spanning star of those alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["region"]):
-            region = rows.column("region").to_numpy()
+        for rows in grouped(batches, ["region", "lo", "hi"]):
+            keys = np.stack([rows.column(k).to_numpy() for k in ("region", "lo", "hi")])
+            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, rows.num_rows]
+            size = np.diff(cuts)
+            group = np.repeat(np.arange(len(size)), size)
             rep = rows.column("rep").to_numpy()
             sig = _sigs(rows.column("sig"))
             left, right = [], []
-            live = np.arange(len(region))
-            for gap in range(1, len(region)):
-                live = live[live + gap < len(region)]
-                live = live[region[live] == region[live + gap]]
+            live = np.flatnonzero(size[group] <= SEARCHED)
+            for gap in range(1, SEARCHED):
+                live = live[live + gap < len(group)]
+                live = live[group[live] == group[live + gap]]
                 if not len(live):
                     break
                 for part in np.array_split(live, len(live) // 20_000 + 1):
                     alike = part[(sig[part] == sig[part + gap]).mean(1) >= least]
                     left.append(rep[alike])
                     right.append(rep[alike + gap])
+            for k in np.flatnonzero(size > SEARCHED).tolist():
+                own = slice(cuts[k], cuts[k + 1])
+                a, b = alike_star(sig[own], least)
+                left.append(rep[own][a])
+                right.append(rep[own][b])
             if left and sum(map(len, left)):
                 nodes, roots = local_components(np.concatenate(left), np.concatenate(right))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
@@ -180,12 +195,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``width``-word shingles. Two documents are linked when ``100 * |A and B| >= percent * |A or B|``;
     ``component_id`` is the smallest ``doc_id`` that a document reaches, and it is kept when that is its own.
 
-    Method: equal sets become one class. Each of 24 trees sorts the classes' signatures by an order of
-    permutations of its own; neighbours in an order that share a common prefix lie in one region, and a
-    region of more than 64 rows is cut at the next depth, so that depth adapts to how crowded an order
-    is. Rows of a region whose signatures agree enough to allow the threshold join one cluster (rows that
-    still crowd at the last depth join it unseen). Every two members of a cluster are then compared on
-    full shingle sets, large clusters in pairs of blocks, and only a spanning star of links leaves a task.
+    Method: equal sets become one class. Each of 24 trees sorts the classes' signatures by permutations of its
+    own; rows of an order that share a common prefix of five values lie in one region. All rows of a region are
+    compared on their signatures, however many they are: a crowded region is dealt in pairs of blocks, each pair
+    of rows meeting in at least one. Rows whose signatures agree enough to allow the threshold join one cluster.
+    Every two members of a cluster are then compared on full shingle sets, large clusters in pairs of blocks,
+    and only a spanning star of links leaves a task.
 
     Defined cases: null or blank texts have no shingles and link with nothing; shorter texts than
     ``width`` words have one shingle; repeated rows are all returned, with the same component; a null
@@ -197,28 +212,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = materialize(usable.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("k1", "k2", "n_shingles", F.col("r.doc_id").alias("rep"), "r.sig"))
     sigs = reps.select("rep", "sig").dropDuplicates(["rep"])
 
-    rows = reps.select("rep", "sig").mapInArrow(_regions(DEPTHS[0], True), "rep bigint, tree int, region bigint")
-    found, edges, spare = [], None, []
-    for level, depth in enumerate(DEPTHS):
-        sizes = rows.groupBy("region").agg(F.count("*").alias("crowd")).where("crowd > 1")
-        kept = materialize(rows.join(sizes, "region"))
-        spare.append(kept)
-        found.append(kept.where(F.col("crowd") <= REGION_ROWS).select("rep", "region"))
-        crowded = kept.where(F.col("crowd") > REGION_ROWS)
-        if level == len(DEPTHS) - 1:
-            hubs = crowded.groupBy("region").agg(F.min("rep").alias("b"))
-            edges = crowded.join(hubs, "region").select(F.col("rep").alias("a"), "b")
-        elif crowded.isEmpty():
-            break
-        else:
-            rows = crowded.select("rep", "tree").join(sigs, "rep").mapInArrow(_regions(DEPTHS[level + 1], False), "rep bigint, tree int, region bigint")
-    regions = found[0]
-    for more in found[1:]:
-        regions = regions.union(more)
-    alike = regions.join(sigs, "rep").repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(least), "a bigint, b bigint")
-    clusters = materialize(connected_components(alike if edges is None else alike.union(edges)).withColumnRenamed("root", "cluster").withColumnRenamed("node", "rep"))
-    for one in spare:
-        discard(one)
+    rows = reps.select("rep", "sig").mapInArrow(_regions, "rep bigint, region bigint")
+    crowds = rows.groupBy("region").agg(F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks"), F.count("*").alias("crowd")).where("crowd > 1")
+    kept = materialize(rows.join(crowds.drop("crowd"), "region"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # two blocks together hold the pairs within each
+    dealt = dealt.where("blocks = 1 or own <> other").select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep")
+    alike = dealt.join(sigs, "rep").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi").mapInArrow(_neighbours(least), "a bigint, b bigint")
+    clusters = materialize(connected_components(alike).withColumnRenamed("root", "cluster").withColumnRenamed("node", "rep"))
+    discard(kept)
 
     sized = clusters.join(reps.select("rep", "n_shingles"), "rep")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

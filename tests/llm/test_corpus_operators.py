@@ -103,6 +103,26 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
 
 
+def swapped(words, swaps, rng):
+    words = list(words)
+    for k in rng.sample(range(2, len(words) - 2), swaps):
+        words[k] = f"r{rng.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("block", [2048, 100])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, block):
+    # variants of one base, alike by 0.6, of which every two are twins alike by 0.858
+    monkeypatch.setattr(minhash, "REGION_BLOCK", block, raising=False)
+    rng, texts = random.Random(3), {}
+    for i in range(0, 4500, 2):
+        one = swapped([f"b{k}" for k in range(120)], 5, rng)
+        texts |= {i: " ".join(one), i + 1: " ".join(swapped(one, 3, rng))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert [i for i in range(0, 4500, 2) if got[i] != got[i + 1]] == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components.connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
