@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.scratch import materialize
@@ -121,18 +121,31 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             own = size[doc] == width if width < WIDTH else size[doc] >= WIDTH
             h, at, doc = h[own], at[own], doc[own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(_slots(token, word, at, width), pa.list_(pa.int64()))],
-                ["item_id", "window", "width", "item_slots"],
+                [batch.column("item_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(at - first[doc]), pa.array(size[doc]), pa.array(_slots(token, word, at, width), pa.list_(pa.int64()))],
+                ["item_id", "window", "width", "item_at", "item_words", "item_slots"],
             )
 
 
+def _spots() -> Column:
+    """The occurrences that a met window may belong to: by where the item would begin in the document.
+
+    The exact start; starts within a quarter of the item's words, in two rasters, as words put in or left out
+    shift it; and the document as a whole.
+    """
+    start, quarter = F.col("doc_at") - F.col("item_at"), F.greatest(F.lit(1), F.floor(F.col("item_words") / 4))
+    spot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    return F.array(spot(0, start), spot(1, F.floor(start / quarter)), spot(2, F.floor(start / quarter + 0.5)), spot(3, F.lit(0)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> a row per leak: ``doc_id, item_id, coverage, consistency, windows``.
 
     Numbers, names and units become typed placeholders; both sides' windows of five template tokens meet in a
     hash join, so that a re-parameterised question still matches. A document leaks an item if it holds at least
     ``coverage`` of the item's distinct windows, and if each filler of the item's slots stands for mostly one
-    filler of the document's: the share of slots so explained is ``consistency``, at least 0.8.
+    filler of the document's: the share of slots so explained is ``consistency``, at least 0.8. Both are judged
+    for each occurrence of the item in the document (windows that begin it at one place, or near it) and for the
+    document as a whole; one that passes is enough, and the best that passes is reported.
 
     A bitmap of fixed size drops windows that no item has before they leave a task; what it lets pass wrongly
     fails the join. Counts are by (document, item), so no document's or window's rows meet in one task.
@@ -142,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     of a document count once.
     """
     spark = docs.sparkSession
-    items = materialize(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id bigint, window bigint, width int, item_slots array<bigint>").distinct())
+    items = materialize(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id bigint, window bigint, width int, item_at bigint, item_words bigint, item_slots array<bigint>").distinct())
     sizes = items.groupBy("item_id").agg(F.count_distinct("window").alias("item_windows"))
     bits = items.select(F.shiftrightunsigned("window", 64 - BITMAP_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
@@ -167,18 +180,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 for shown, h, at, doc in hits:
                     h, at, doc = h[enough[doc]], at[enough[doc]], doc[enough[doc]]
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))], ["doc_id", "window", "doc_slots"])
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(at - first[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))], ["doc_id", "window", "doc_at", "doc_slots"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window bigint, doc_slots array<bigint>").distinct()
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window bigint, doc_at bigint, doc_slots array<bigint>").distinct()
     met = materialize(found.join(items.drop("width"), "window"))
     held = met.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("windows"))
-    held = held.join(sizes, held["item_id"].eqNullSafe(sizes["item_id"])).select(held["doc_id"], held["item_id"], "windows", (F.col("windows") / F.col("item_windows")).alias("coverage")).where(F.col("coverage") >= coverage - 1e-9)
-    pairs = met.where(F.size("item_slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
-    fillers = pairs.groupBy("doc_id", "item_id", F.col("s.item_slots").alias("own"), F.col("s.doc_slots").alias("other")).agg(F.count("*").alias("n"))
-    best = fillers.groupBy("doc_id", "item_id", "own").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    slots = best.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg((F.sum("most") / F.sum("all")).alias("share"))
-    out = held.join(slots, held["doc_id"].eqNullSafe(slots["d"]) & held["item_id"].eqNullSafe(slots["i"]), "left")
-    return out.select("doc_id", "item_id", "coverage", F.coalesce("share", F.lit(1.0)).alias("consistency"), "windows").where(F.col("consistency") >= CONSISTENCY)
+    held = held.join(sizes, held["item_id"].eqNullSafe(sizes["item_id"])).select(held["doc_id"].alias("d"), held["item_id"].alias("i"), "item_windows").where(F.col("windows") / F.col("item_windows") >= coverage - 1e-9)
+    close = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & met["item_id"].eqNullSafe(held["i"]))
+    spotted = materialize(close.select("doc_id", "item_id", "item_windows", "window", "item_slots", "doc_slots", F.explode(_spots()).alias("spot")).distinct())
+    key = ["doc_id", "item_id", "spot"]
+    whole = spotted.groupBy(*key, "item_windows").agg(F.count_distinct("window").alias("windows")).withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage - 1e-9)
+    pairs = spotted.where(F.size("item_slots") > 0).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
+    fillers = pairs.groupBy(*key, F.col("s.item_slots").alias("own"), F.col("s.doc_slots").alias("other")).agg(F.count("*").alias("n"))
+    best = fillers.groupBy(*key, "own").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    slots = best.groupBy(*[F.col(c).alias("_" + c) for c in key]).agg((F.sum("most") / F.sum("all")).alias("share"))
+    same = [whole[c].eqNullSafe(slots["_" + c]) for c in key]
+    judged = whole.join(slots, same, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= CONSISTENCY)
+    return judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", "windows")).alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

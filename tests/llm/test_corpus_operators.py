@@ -193,6 +193,18 @@ def test_leaks(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench.where("false")).count() == 0
 
 
+def test_leaks_of_one_template_twice(spark):
+    item = "A shop sold 12 apples on day 3 and 45 pears on day 6 and then 78 plums on day 9 before it closed"
+    twin = item.replace("12", "31").replace("45", "52").replace("78", "64").replace("3 and", "2 and").replace("6 and", "5 and").replace("day 9", "day 8")
+    other = item.replace("12", "13").replace("45", "46").replace("78", "79").replace("3 and", "1 and").replace("6 and", "7 and").replace("day 9", "day 4")
+    longer = twin.replace("and then", "and just then")
+    odd = "A shop sold 1 apples on day 2 and 3 pears on day 4 and then 5 plums on day 6 before it closed"
+    docs = [(1, f"{item}. {twin}."), (2, f"{twin}. {other}."), (3, f"{longer}. {other}. {item}."), (4, odd.split(" and ")[0])]
+    bench = spark.createDataFrame([(10, item), (11, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.consistency for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(d, i): 1.0 for d in (1, 2, 3) for i in (10, 11)}
+
+
 def test_short_items_and_edges(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "two words"), (2, "words")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(edges, bench).collect()) == [(4, 1), (4, 2)]
