@@ -112,18 +112,25 @@ def readings(token: np.ndarray, word: np.ndarray, name: np.ndarray, first: np.nd
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items of fewer words than a window are one window of all their words."""
+    """Items of fewer words than a window are one window of all their words.
+
+    Reading 0 has names as placeholders; items with names have a reading 1 with names as plain words.
+    """
     for batch in slices(batches, "text"):
-        token, word, _, first = canonical(batch.column("text"))
+        token, word, name, first = canonical(batch.column("text"))
         size = np.diff(first)
-        for width in range(1, WIDTH + 1):
-            h, at, doc = windows(token, first, width)
-            own = size[doc] == width if width < WIDTH else size[doc] >= WIDTH
-            h, at, doc = h[own], at[own], doc[own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(at - first[doc]), pa.array(size[doc]), pa.array(_slots(token, word, at, width), pa.list_(pa.int64()))],
-                ["item_id", "window", "width", "item_at", "item_words", "item_slots"],
-            )
+        named = np.diff(np.r_[0, np.cumsum(name)][first]) > 0
+        for reading, shown in enumerate((token, np.where(name, word, token))):
+            for width in range(1, WIDTH + 1):
+                h, at, doc = windows(shown, first, width)
+                own = size[doc] == width if width < WIDTH else size[doc] >= WIDTH
+                if reading:
+                    own = own & named[doc]
+                h, at, doc = h[own], at[own], doc[own]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("item_id").take(pa.array(doc)), pa.array(np.full(len(h), reading, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(at - first[doc]), pa.array(size[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))],
+                    ["item_id", "reading", "window", "width", "item_at", "item_words", "item_slots"],
+                )
 
 
 def _spots() -> Column:
@@ -145,7 +152,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     ``coverage`` of the item's distinct windows, and if each filler of the item's slots stands for mostly one
     filler of the document's: the share of slots so explained is ``consistency``, at least 0.8. Both are judged
     for each occurrence of the item in the document (windows that begin it at one place, or near it) and for the
-    document as a whole; one that passes is enough, and the best that passes is reported.
+    document as a whole; one that passes is enough, and the best that passes is reported. As a name is told by its
+    capital, an item is also read with its names as plain words, case folded, and the better reading counts.
 
     A bitmap of fixed size drops windows that no item has before they leave a task; what it lets pass wrongly
     fails the join. Counts are by (document, item), so no document's or window's rows meet in one task.
@@ -155,8 +163,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     of a document count once.
     """
     spark = docs.sparkSession
-    items = materialize(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id bigint, window bigint, width int, item_at bigint, item_words bigint, item_slots array<bigint>").distinct())
-    sizes = items.groupBy("item_id").agg(F.count_distinct("window").alias("item_windows"))
+    items = materialize(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id bigint, reading int, window bigint, width int, item_at bigint, item_words bigint, item_slots array<bigint>").distinct())
+    sizes = items.groupBy("item_id", "reading").agg(F.count_distinct("window").alias("item_windows"))
     bits = items.select(F.shiftrightunsigned("window", 64 - BITMAP_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[bits] = True
@@ -184,11 +192,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window bigint, doc_at bigint, doc_slots array<bigint>").distinct()
     met = materialize(found.join(items.drop("width"), "window"))
-    held = met.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("windows"))
-    held = held.join(sizes, held["item_id"].eqNullSafe(sizes["item_id"])).select(held["doc_id"].alias("d"), held["item_id"].alias("i"), "item_windows").where(F.col("windows") / F.col("item_windows") >= coverage - 1e-9)
-    close = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & met["item_id"].eqNullSafe(held["i"]))
-    spotted = materialize(close.select("doc_id", "item_id", "item_windows", "window", "item_slots", "doc_slots", F.explode(_spots()).alias("spot")).distinct())
-    key = ["doc_id", "item_id", "spot"]
+    held = met.groupBy("doc_id", "item_id", "reading").agg(F.count_distinct("window").alias("windows"))
+    held = held.join(sizes, held["item_id"].eqNullSafe(sizes["item_id"]) & (held["reading"] == sizes["reading"])).select(held["doc_id"].alias("d"), held["item_id"].alias("i"), held["reading"].alias("r"), "item_windows").where(F.col("windows") / F.col("item_windows") >= coverage - 1e-9)
+    close = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & met["item_id"].eqNullSafe(held["i"]) & (met["reading"] == held["r"]))
+    spotted = materialize(close.select("doc_id", "item_id", "reading", "item_windows", "window", "item_slots", "doc_slots", F.explode(_spots()).alias("spot")).distinct())
+    key = ["doc_id", "item_id", "reading", "spot"]
     whole = spotted.groupBy(*key, "item_windows").agg(F.count_distinct("window").alias("windows")).withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage - 1e-9)
     pairs = spotted.where(F.size("item_slots") > 0).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
     fillers = pairs.groupBy(*key, F.col("s.item_slots").alias("own"), F.col("s.doc_slots").alias("other")).agg(F.count("*").alias("n"))

@@ -205,6 +205,14 @@ def test_leaks_of_one_template_twice(spark):
     assert got == {(d, i): 1.0 for d in (1, 2, 3) for i in (10, 11)}
 
 
+def test_leaks_in_other_case(spark):
+    item = "In 2019 the trader Alice Brown sold 12 kg of sugar to every town along the river while Maria kept prices rising."
+    docs = [(1, item.lower()), (2, "and so " + item.upper()), (3, "Before. " + item), (4, item.replace("Alice", "Lena").replace("Maria", "Ruth")), (5, item.lower().replace("alice brown", "a man"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.coverage for r in decontaminate.leaks(df, spark.createDataFrame([(10, item)], "item_id long, text string")).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
 def test_short_items_and_edges(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "two words"), (2, "words")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(edges, bench).collect()) == [(4, 1), (4, 2)]
