@@ -139,12 +139,6 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
-def test_site_template_goes(spark):
-    rows = [(i, f"https://s.x/{i}", f"<html><body><div><a href=/>Start</a> our site since 1999</div><div>Story number {i}</div></body></html>") for i in range(12)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
-    assert [r.text for r in got] == [f"Story number {i}" for i in range(12)]
-
-
 def test_page_text_equals_article(spark, sf):
     got = {r.page_id: r.text for r in queries.op2_html_extraction(spark, sf).collect()}
     for r in table(spark, sf, "pages").collect():
