@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.components import connected_components
-from sievewright.llm.scratch import discard, materialize
+from sievewright.llm.scratch import discard, materialize, row_key, small_or_joined
 from sievewright.llm.texts import U, grouped, local_components, mix, segment_sums, shingle_sets, slices
 
 #: Trees of the forest, permutations, and the prefix length that makes rows of a tree's order one region.
@@ -27,8 +27,8 @@ SEARCHED = 64
 SLACK = 0.13
 #: Rows and shingles of one block of a large cluster.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
-#: Buckets of the histogram by which shingles are rare or common; ids up to so many are broadcast.
-RARITY_BITS, BROADCAST_ROWS = 18, 500_000
+#: Buckets of the histogram by which shingles are rare or common.
+RARITY_BITS = 18
 
 _RNG = np.random.default_rng(8128)
 _MUL = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
@@ -68,7 +68,7 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), PERMUTATIONS)
 
 
-def _sign(width: int, with_signature: bool = True):
+def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, offsets = shingle_sets(batch.column("text"), width)
@@ -76,12 +76,13 @@ def _sign(width: int, with_signature: bool = True):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_key"),
                     pa.array(np.diff(offsets)),
                     pa.array(segment_sums(mix(sets), offsets).view(np.int64)),
                     pa.array(segment_sums(mix(sets ^ U(0x5851F42D4C957F2D)), offsets).view(np.int64)),
                     pa.array([s.tobytes() for s in sig], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "sig"],
+                ["doc_id", "row_key", "n_shingles", "k1", "k2", "sig"],
             )
 
     return run
@@ -268,11 +269,6 @@ def _confirm(percent: int):
     return run
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if its size, counted, is small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _in_blocks(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of a group with ``blocks`` > 1 are dealt in pairs of blocks: ``lo``, ``hi``; any two rows meet."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -303,7 +299,7 @@ def _rare_way(sets: DataFrame, edges: DataFrame, sigs: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> one row per document: ``doc_id, n_shingles, component_id, kept``.
+    """``docs(doc_id, text, ...)`` -> one row per document: ``doc_id, n_shingles, component_id, kept, row_key, first``.
 
     Words are runs of anything but blanks, lower-cased in A-Z; a document's set holds its distinct
     ``width``-word shingles. Two documents are linked when ``100 * |A and B| >= percent * |A or B|``;
@@ -320,18 +316,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Defined cases: null or blank texts have no shingles and link with nothing; shorter texts than
     ``width`` words have one shingle; repeated rows are all returned, with the same component; rows of one ``doc_id`` with
-    different texts are documents of their own; a null ``doc_id`` is a document by itself (component null, kept).
+    different texts are documents of their own (``row_key`` tells them apart, and ``first`` is true for one text of a component only); a null ``doc_id`` is a document by itself (component null, kept).
     Extra columns, whatever their names, are ignored; an empty table gives no rows.
     """
     least = percent / 100 - SLACK
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(_sign(width), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"))
+    signed = materialize(docs.withColumn("row_key", row_key()).mapInArrow(_sign(width), "doc_id bigint, row_key bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select(F.col("k1").alias("node"), "k2", "n_shingles", F.col("r.doc_id").alias("rep"), "r.sig"))
     sigs = reps.select("node", "sig")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").alias("rep"), "text").join(_bounded(materialize(nodes.join(reps.select("node", "rep"), "node"))), "rep").drop("rep")
+        return docs.select(F.col("doc_id").alias("rep"), "text").join(small_or_joined(materialize(nodes.join(reps.select("node", "rep"), "node"))), "rep").drop("rep")
 
     rows = sigs.mapInArrow(_regions, "node bigint, tree int, region bigint")
     crowds = materialize(rows.groupBy("region").agg(F.count("*").alias("crowd")).where("crowd > 1"))
@@ -358,8 +354,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = connected_components(links)
 
     classes = reps.select("node", "k2", "n_shingles", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("rep").alias("lowest"))
-    classes = classes.join(lowest, "root").select(F.col("node").alias("k1"), "k2", "n_shingles", "lowest")
+    lowest = classes.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("low"))
+    classes = classes.join(lowest, "root").select(F.col("node").alias("k1"), "k2", "n_shingles", F.col("low.rep").alias("lowest"), (F.col("low.node") == F.col("node")).alias("leads"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "row_key", (kept & F.coalesce("leads", F.lit(True))).alias("first"))

@@ -10,7 +10,7 @@ from sievewright.llm.scratch import table
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("row_key", "first")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

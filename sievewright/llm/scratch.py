@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temp folder is set only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temp folder is set only where it is unset and Spark is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +42,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def small_or_joined(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A narrow written table, marked for broadcast if it has no more than ``rows`` rows; larger ones are joined by shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def row_key() -> Column:
+    """What tells a document from others, those without or with the same ``doc_id`` included: a hash of id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,12 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.scratch import materialize
+from sievewright.llm.scratch import materialize, small_or_joined
 
 #: Magic number of the skippable frame that holds an archive's dictionary, and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
 #: Payload bytes that an archive holds before the next one begins; bytes of records that train its dictionary; the dictionary's size.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 8 << 20, 1 << 20, 32 << 10
+#: Bytes of an archive that are decompressed at once.
+PIECE = 16 << 10
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string"
@@ -32,16 +34,20 @@ def _header_text(value: str) -> str:
     return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
 
 
-def build_record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, payload: bytes, digest: str) -> bytes:
-    """One WARC/1.1 record: a response with its HTTP block, or a revisit that names the response."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+def build_record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, payload: bytes, size: int, digest: str) -> bytes:
+    """One WARC/1.1 record: a response with its HTTP block, or a revisit that names the response.
+
+    A record's id holds page and digest, so pages that share a number but no content have records of their own. The HTTP
+    head tells the payload's length, in a revisit too.
+    """
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{digest}>"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header_value(url)}")
     head += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -52,12 +58,13 @@ def parse_record(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("a record's length is not what its header says")
-    payload = block.partition(b"\r\n\r\n")[2]
-    number = lambda x: int(m[1]) if (m := re.search(r"urn:page:(-?\d+)>", x or "")) else None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
+    number = lambda x: int(m[1]) if (m := re.search(r"urn:page:(-?\d+):", x or "")) else None
     kind = fields["WARC-Type"]
     url = fields.get("WARC-Target-URI")
-    digest = hashlib.sha1(payload).hexdigest()
-    if kind == "response" and fields["WARC-Payload-Digest"] != f"sha1:{digest}":
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (digest != hashlib.sha1(payload).hexdigest() or size != len(payload)):
         raise ValueError("a payload differs from its digest")
     return {
         "page_id": number(fields["WARC-Record-ID"]),
@@ -65,8 +72,8 @@ def parse_record(raw: bytes) -> dict:
         "record_type": kind,
         "refers_to": number(fields.get("WARC-Refers-To")),
         "payload": payload if kind == "response" else None,
-        "payload_bytes": len(payload) if kind == "response" else None,
-        "payload_digest": digest if kind == "response" else None,
+        "payload_bytes": size,
+        "payload_digest": digest,
     }
 
 
@@ -94,26 +101,33 @@ def unpack(archive: bytes) -> Iterator[bytes]:
         raise ValueError("an archive begins with its dictionary")
     (size,) = struct.unpack("<I", archive[4:8])
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(archive[8 : 8 + size]))
-    rest = memoryview(archive)[8 + size :]
-    while len(rest):
-        one = decompressor.decompressobj()
-        yield one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :] if one.unused_data else rest[:0]
+    at, view = 8 + size, memoryview(archive)
+    while at < len(view):
+        one, parts = decompressor.decompressobj(), []
+        # fed in pieces, so that what follows the record is not copied with it
+        while not one.eof:
+            piece = view[at : at + PIECE]
+            if not len(piece):
+                raise ValueError("an archive ends within a record")
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def assign_types(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` with ``payload``, ``payload_digest``, ``record_type`` and ``refers_to``.
 
     Of equal payloads (length and digest) of at least 1000 bytes the largest ``page_id`` is the response.
-    Only groups of several rows go through the join, so a payload that occurs once meets no other row.
+    Only groups of several rows are joined, by broadcast while they are few, so that pages do not move.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     slim = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_digest": F.sha1("payload"), "n": F.octet_length("payload")})
     groups = slim.where(F.col("n") >= REVISIT_BYTES).groupBy("payload_digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("rows"))
-    groups = groups.where("rows > 1").drop("rows")
+    groups = small_or_joined(materialize(groups.where("rows > 1").drop("rows")))
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     out = slim.join(groups, ["payload_digest", "n"], "left")
-    return out.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
+    return out.select("page_id", "url", "payload", "payload_digest", "n", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +138,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for r in batch.to_pylist():
-            held.append(build_record(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload"] if r["record_type"] == "response" else b"", r["payload_digest"]))
+            held.append(build_record(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload"] if r["record_type"] == "response" else b"", r["n"], r["payload_digest"]))
             size += len(held[-1])
             if size >= ARCHIVE_BYTES:
                 yield row()
@@ -139,8 +153,10 @@ def write_archives(pages: DataFrame) -> DataFrame:
     A task closes an archive at 8 MiB of records, so that a row stays small whatever the table's size; write
     the rows as Parquet, or each ``content`` as a file, which standard WARC tools read.
 
-    Defined cases: null html is an empty payload; a null ``page_id`` or ``url`` comes back as null; rows
-    repeated with the same ``page_id`` are all responses if theirs is the largest; no rows, no archives.
+    Defined cases: null html is an empty payload; a null ``page_id`` or ``url`` comes back as null; rows of one
+    ``page_id`` with different payloads are records of their own; rows repeated in full are the same record, stored as
+    often, all responses if theirs is the largest id; a payload must fit a Spark value (2 GiB); extra columns are
+    ignored; no rows, no archives.
     """
     return assign_types(pages).mapInArrow(_write, "archive string, records bigint, content binary")
 
@@ -161,18 +177,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of ``archives(content, ...)``; a revisit's payload is null, its digest and length are those of the response it names."""
-    records = archives.select("content").mapInArrow(_read, RECORDS)
-    return records
+    """Every record of ``archives(content, ...)``; a revisit's payload is null, its digest and length are in its own record."""
+    return archives.select("content").mapInArrow(_read, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives to the shared folder, read them back and describe every record."""
-    records = materialize(read_archives(materialize(write_archives(pages))).drop("payload"))
-    named = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("b"), F.max_by("payload_digest", "payload_bytes").alias("d"))
-    revisits = records.where("record_type = 'revisit'").join(named, "refers_to", "left")
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return records.where("record_type = 'response'").select(columns).union(revisits.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to"))
+    records = read_archives(materialize(write_archives(pages)))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

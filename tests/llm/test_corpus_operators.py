@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +361,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    a, b = "a" * 1500, "b" * 3000
+    rows = [(3, "u", a, 1), (7, "u", a, 2), (7, "u", b, 3), (8, None, b, 4), (None, "u", a, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, keeper int")
+    got = Counter(map(tuple, warc.round_trip(pages).collect()))
+    sha = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b)}
+    want = [(3, 1500, sha[a], "revisit", 7), (7, 1500, sha[a], "response", None), (7, 3000, sha[b], "revisit", 8), (8, 3000, sha[b], "response", None), (None, 1500, sha[a], "revisit", 7)]
+    assert got == Counter(want)
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for c in warc.write_archives(pages).collect() for x in warc.unpack(bytes(c.content))]
+    assert len(set(ids)) == len(rows)
+
+
+def test_unpack_takes_linear_time():
+    record = warc.build_record(1, "u", "response", None, b"x" * 200, 200, "0")
+    began = time.monotonic()
+    assert sum(1 for _ in warc.unpack(warc.pack([record] * 60_000))) == 60_000 and time.monotonic() - began < 20
+
+
 def test_warc_equals_sql(spark, sf):
     db = duckdb.connect()
     db.execute(f"create view pages as select * from '{sf}/pages.parquet'")
@@ -368,5 +387,5 @@ def test_warc_equals_sql(spark, sf):
 
 
 def test_archive_leads_with_its_dictionary():
-    data = warc.pack([warc.build_record(i, "u", "response", None, b"<p>some text</p>" * 30, "0") for i in range(50)])
+    data = warc.pack([warc.build_record(i, "u", "response", None, b"<p>some text</p>" * 30, 480, "0") for i in range(50)])
     assert data[:4] == warc.DICTIONARY_MAGIC and len(list(warc.unpack(data))) == 50
