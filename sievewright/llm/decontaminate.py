@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.scratch import materialize
+from sievewright.llm.scratch import materialize, row_key, small_or_joined
 from sievewright.llm.texts import U, mix, raw_bytes, slices, word_hashes, word_spans
 
 WIDTH = 5
@@ -18,6 +18,8 @@ WIDTH = 5
 COVERAGE, CONSISTENCY = 0.8, 0.8
 #: Size of the bitmap of the benchmark's windows that tasks get: two mebibytes whatever the benchmark's size.
 BITMAP_BITS = 24
+#: Items' windows up to so many are broadcast; more are joined, each window dealt by so many salts.
+BROADCAST_ROWS, SALTS = 300_000, 16
 #: Words for units.
 UNITS = (
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -61,7 +63,8 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Template tokens, hashes of all words, which tokens are names, and the first token of each text.
 
     Words lose marks at their edges and case; what has no letter or digit is no token. A word with a digit
-    in front is a number; a capitalised word that begins no sentence is a name; unit words after a number are units.
+    in front is a number; a capitalised word that begins no sentence is a name (a word that begins beyond ASCII, if it
+    holds a capital); unit words after a number are units.
     """
     data, offsets = raw_bytes(column)
     begin, last, doc = _trimmed(data, offsets)
@@ -73,19 +76,26 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     opens = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
     opens = opens | (stops[begin] > stops[np.minimum(before, begin)])
     number = _DIGIT[data[begin]]
-    name = _UPPER[data[begin]] & ~opens & ~number
+    capital = _UPPER[data[begin]] | (data[begin] >= 128) & (word_hashes(data, begin, last, lower=False) != word)
+    name = capital & ~opens & ~number
     known = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word
     unit = known & np.r_[False, number[:-1]][: len(word)] & ~opens
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, word)))
     return token, word, name & ~unit, np.searchsorted(doc, np.arange(len(offsets)))
 
 
-def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, position and text of every window of ``width`` template tokens within a text."""
+def windows(token: np.ndarray, word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, position and text of every window of ``width`` template tokens within a text.
+
+    A window of placeholders alone says nothing of a template and would be met by every table of numbers; it stands for
+    the words that fill it.
+    """
     n = max(0, len(token) - width + 1)
-    h = np.full(n, width, np.uint64)
+    plain = np.r_[0, np.cumsum((token != NUMBER) & (token != UNIT) & (token != NAME))]
+    bare = plain[width : width + n] == plain[:n]
+    h = np.where(bare, U(width + 100), U(width))
     for k in range(width):
-        h = mix(h * U(0x9E3779B97F4A7C15) + token[k : k + n])
+        h = mix(h * U(0x9E3779B97F4A7C15) + np.where(bare, word[k : k + n], token[k : k + n]))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(doc[:n] == doc[width - 1 : width - 1 + n]) if n else np.zeros(0, np.int64)
     return h[at], at, doc[at]
@@ -102,11 +112,11 @@ def readings(token: np.ndarray, word: np.ndarray, name: np.ndarray, first: np.nd
 
     A passage that is put into the midst of a sentence begins with a capital that is no name.
     """
-    h, at, doc = windows(token, first, width)
+    h, at, doc = windows(token, word, first, width)
     yield token, h, at, doc
     named = np.r_[0, np.cumsum(name)]
     plain = np.where(name, word, token)
-    h, at, doc = windows(plain, first, width)
+    h, at, doc = windows(plain, word, first, width)
     some = named[at + width] > named[at]
     yield plain, h[some], at[some], doc[some]
 
@@ -122,14 +132,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         named = np.diff(np.r_[0, np.cumsum(name)][first]) > 0
         for reading, shown in enumerate((token, np.where(name, word, token))):
             for width in range(1, WIDTH + 1):
-                h, at, doc = windows(shown, first, width)
+                h, at, doc = windows(shown, word, first, width)
                 own = size[doc] == width if width < WIDTH else size[doc] >= WIDTH
                 if reading:
                     own = own & named[doc]
                 h, at, doc = h[own], at[own], doc[own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("item_id").take(pa.array(doc)), pa.array(np.full(len(h), reading, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(at - first[doc]), pa.array(size[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))],
-                    ["item_id", "reading", "window", "width", "item_at", "item_words", "item_slots"],
+                    [batch.column("item_id").take(pa.array(doc)), batch.column("item_key").take(pa.array(doc)), pa.array(np.full(len(h), reading, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(at - first[doc]), pa.array(size[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))],
+                    ["item_id", "item_key", "reading", "window", "width", "item_at", "item_words", "item_slots"],
                 )
 
 
@@ -144,8 +154,16 @@ def _spots() -> Column:
     return F.array(spot(0, start), spot(1, F.floor(start / quarter)), spot(2, F.floor(start / quarter + 0.5)), spot(3, F.lit(0)))
 
 
+def _met(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows of documents and items that are the same; items are few as a rule, else the join is salted against hot windows."""
+    if items.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(items), "window")
+    salted = found.withColumn("salt", F.pmod(F.col("row_key"), F.lit(SALTS)).cast("int"))
+    return salted.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["window", "salt"]).drop("salt")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> a row per leak: ``doc_id, item_id, coverage, consistency, windows``.
+    """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> a row per leak: ``doc_id, item_id, coverage, consistency, windows, row_key``.
 
     Numbers, names and units become typed placeholders; both sides' windows of five template tokens meet in a
     hash join, so that a re-parameterised question still matches. A document leaks an item if it holds at least
@@ -158,13 +176,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     A bitmap of fixed size drops windows that no item has before they leave a task; what it lets pass wrongly
     fails the join. Counts are by (document, item), so no document's or window's rows meet in one task.
 
-    Defined cases: null texts and texts without words have no windows; a null ``doc_id`` or ``item_id`` is
-    reported as null; items with equal texts are each reported; an empty benchmark gives no rows; repeated rows
-    of a document count once.
+    Defined cases: null texts and texts without words have no windows; each text is a document of its own, so rows without
+    ``doc_id``, and rows of one ``doc_id`` with different texts, are judged one by one (``row_key`` tells them apart); repeated
+    rows of a document count once; a null ``item_id`` is reported as null, and items without one that differ in text are
+    different items; items with equal texts are each reported; ties go to the larger consistency, then to more windows; an empty
+    benchmark gives no rows; extra columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    items = materialize(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id bigint, reading int, window bigint, width int, item_at bigint, item_words bigint, item_slots array<bigint>").distinct())
-    sizes = items.groupBy("item_id", "reading").agg(F.count_distinct("window").alias("item_windows"))
+    told = benchmark.select("item_id", "text", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit(""))).alias("item_key"))
+    items = materialize(told.mapInArrow(_item_windows, "item_id bigint, item_key bigint, reading int, window bigint, width int, item_at bigint, item_words bigint, item_slots array<bigint>").distinct())
+    sizes = small_or_joined(materialize(items.groupBy("item_key", "reading").agg(F.count_distinct("window").alias("item_windows"))))
     bits = items.select(F.shiftrightunsigned("window", 64 - BITMAP_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[bits] = True
@@ -188,26 +209,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 for shown, h, at, doc in hits:
                     h, at, doc = h[enough[doc]], at[enough[doc]], doc[enough[doc]]
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(at - first[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))], ["doc_id", "window", "doc_at", "doc_slots"])
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window bigint, doc_at bigint, doc_slots array<bigint>").distinct()
-    met = materialize(found.join(items.drop("width"), "window"))
-    held = met.groupBy("doc_id", "item_id", "reading").agg(F.count_distinct("window").alias("windows"))
-    held = held.join(sizes, held["item_id"].eqNullSafe(sizes["item_id"]) & (held["reading"] == sizes["reading"])).select(held["doc_id"].alias("d"), held["item_id"].alias("i"), held["reading"].alias("r"), "item_windows").where(F.col("windows") / F.col("item_windows") >= coverage - 1e-9)
-    close = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & met["item_id"].eqNullSafe(held["i"]) & (met["reading"] == held["r"]))
-    spotted = materialize(close.select("doc_id", "item_id", "reading", "item_windows", "window", "item_slots", "doc_slots", F.explode(_spots()).alias("spot")).distinct())
-    key = ["doc_id", "item_id", "reading", "spot"]
-    whole = spotted.groupBy(*key, "item_windows").agg(F.count_distinct("window").alias("windows")).withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage - 1e-9)
+                        rows = pa.array(doc)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(h.view(np.int64)), pa.array(at - first[doc]), pa.array(_slots(shown, word, at, width), pa.list_(pa.int64()))], ["doc_id", "row_key", "window", "doc_at", "doc_slots"])
+
+    found = docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, window bigint, doc_at bigint, doc_slots array<bigint>").distinct()
+    met = materialize(_met(found, items.drop("width")))
+    pair = ["row_key", "item_key", "reading"]
+    held = met.groupBy(*pair).agg(F.count_distinct("window").alias("windows")).join(sizes, ["item_key", "reading"]).where(F.col("windows") / F.col("item_windows") >= coverage - 1e-9)
+    close = met.join(held.drop("windows"), pair)
+    spotted = materialize(close.select("doc_id", "item_id", *pair, "item_windows", "window", "item_slots", "doc_slots", F.explode(_spots()).alias("spot")).distinct())
+    key = [*pair, "spot"]
+    whole = spotted.groupBy(*key, "doc_id", "item_id", "item_windows").agg(F.count_distinct("window").alias("windows")).withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage - 1e-9)
     pairs = spotted.where(F.size("item_slots") > 0).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
     fillers = pairs.groupBy(*key, F.col("s.item_slots").alias("own"), F.col("s.doc_slots").alias("other")).agg(F.count("*").alias("n"))
     best = fillers.groupBy(*key, "own").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    slots = best.groupBy(*[F.col(c).alias("_" + c) for c in key]).agg((F.sum("most") / F.sum("all")).alias("share"))
-    same = [whole[c].eqNullSafe(slots["_" + c]) for c in key]
-    judged = whole.join(slots, same, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= CONSISTENCY)
-    return judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", "windows")).alias("x")).select("doc_id", "item_id", "x.*")
+    slots = best.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("share"))
+    judged = whole.join(slots, key, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= CONSISTENCY)
+    return judged.groupBy("doc_id", "item_id", "row_key", "item_key").agg(F.max(F.struct("coverage", "consistency", "windows")).alias("x")).select("doc_id", "item_id", "x.*", "row_key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak a benchmark item; a document without ``doc_id`` is judged with the others of that kind."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the texts that leak a benchmark item; each row is judged by its own text, whatever its ``doc_id``."""
+    bad = small_or_joined(materialize(leaks(docs, benchmark).select(F.col("row_key").alias("_leaking_row")).distinct()))
+    return docs.join(bad, row_key() == F.col("_leaking_row"), "left_anti")

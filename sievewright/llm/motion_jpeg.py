@@ -20,6 +20,8 @@ SAMPLE_BITS = 9
 BINS = 16
 #: Shots: a histogram difference begins one if it passes the local mean by so many deviations, and the floor.
 DEVIATIONS, FLOOR, AROUND = 3.0, 0.12, 8
+#: Frames that are coded at once: a frame's bits take some 5 kB on the way.
+AT_ONCE = 4096
 
 
 def _symbols() -> np.ndarray:
@@ -54,6 +56,8 @@ JPEG_TAIL = b"\xff\xd9"
 
 def encode_frames(samples: np.ndarray) -> list[bytes]:
     """``(n, HEIGHT, WIDTH)`` bytes -> ``n`` JPEG images without loss."""
+    if len(samples) > AT_ONCE:
+        return [image for k in range(0, len(samples), AT_ONCE) for image in encode_frames(samples[k : k + AT_ONCE])]
     x = samples.astype(np.int16)
     d = np.empty_like(x)
     d[:, :, 1:] = x[:, :, 1:] - x[:, :, :-1]
@@ -104,27 +108,31 @@ def _decode_any(data: bytes, codes: dict, n: int) -> np.ndarray:
     return out
 
 
-def decode_frames(images: list[bytes]) -> np.ndarray:
-    """JPEG images -> ``(n, HEIGHT, WIDTH)`` samples; images with this writer's table are decoded together."""
-    if not images:
-        return np.zeros((0, HEIGHT, WIDTH), np.uint8)
-    if all(x.startswith(JPEG_HEAD) for x in images):
-        packed = b"".join(x[len(JPEG_HEAD) : -2].replace(b"\xff\x00", b"\xff") for x in images)
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, SAMPLE_BITS)
-        symbol = (bits[:, 0].astype(np.uint16) << 8) | np.packbits(bits[:, 1:], axis=1)[:, 0]
-        d = _DIFFERENCE[symbol].reshape(-1, HEIGHT, WIDTH)
-    else:
-        parts = []
-        for x in images:
-            height, width, codes, at = parse_jpeg(x)
-            parts.append(_decode_any(x[at:-2].replace(b"\xff\x00", b"\xff"), codes, height * width).reshape(height, width))
-        d = np.stack(parts)
+def _integrated(d: np.ndarray) -> np.ndarray:
+    """Differences of frames of one size -> samples."""
     d = d.copy()
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
     return (np.cumsum(d, axis=2) & 255).astype(np.uint8)
 
 
+def decode_frames(images: list[bytes]) -> np.ndarray | list[np.ndarray]:
+    """JPEG images -> ``(n, HEIGHT, WIDTH)`` samples, all at once if they have this writer's table; else a list, each of its own size."""
+    if not all(x.startswith(JPEG_HEAD) for x in images):
+        out = []
+        for x in images:
+            height, width, codes, at = parse_jpeg(x)
+            out.append(_integrated(_decode_any(x[at:-2].replace(b"\xff\x00", b"\xff"), codes, height * width).reshape(1, height, width))[0])
+        return out
+    parts = [np.zeros((0, HEIGHT, WIDTH), np.uint8)]
+    for k in range(0, len(images), AT_ONCE):
+        packed = b"".join(x[len(JPEG_HEAD) : -2].replace(b"\xff\x00", b"\xff") for x in images[k : k + AT_ONCE])
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, SAMPLE_BITS)
+        symbol = (bits[:, 0].astype(np.uint16) << 8) | np.packbits(bits[:, 1:], axis=1)[:, 0]
+        parts.append(_integrated(_DIFFERENCE[symbol].reshape(-1, HEIGHT, WIDTH)))
+    return np.concatenate(parts)
+
+
 def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
@@ -162,14 +170,19 @@ def read_avi(media: bytes) -> tuple[list[bytes], float]:
     return [media[movie + o + 8 : movie + o + 8 + n] for _, flags, o, n in struct.iter_unpack("<4sIII", index) if flags & 0x10], seconds
 
 
-def shots(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shots(frames: np.ndarray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """First frames of shots, and the histogram difference of each frame to the one before.
 
     The threshold follows the differences around a frame: their mean and deviation over eight frames
-    to either side, the frame's own left out.
+    to either side, the frame's own left out. No frames have no shots.
     """
     n = len(frames)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / FRAME
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0)
+    if isinstance(frames, list):
+        hist = np.stack([np.bincount(x.ravel() >> 4, minlength=BINS) / x.size for x in frames])
+    else:
+        hist = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / FRAME
     d = np.r_[0.0, np.abs(np.diff(hist, axis=0)).sum(1) / 2]
     if n < 2:
         return np.zeros(1, np.int64), d
@@ -187,7 +200,8 @@ def encode(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_bytes, media``: the text's UTF-8 bytes, padded by 255 to whole frames, as an AVI file.
 
     Defined cases: null and empty texts are one frame of padding; repeated rows are encoded each; a null
-    ``doc_id`` stays null; extra columns are ignored.
+    ``doc_id`` stays null; long texts are coded some thousand frames at a time; a file must fit a Spark value (2 GiB, and
+    so RIFF's 32-bit sizes); an empty table gives no rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,22 +219,33 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, list[float]]]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list[float]]]:
+    """Batches with their media and each one's frames; what is null or no AVI file has no frames."""
     for batch in slices(batches, "media"):
         media = [x.as_py() or b"" for x in batch.column("media")]
-        read = [read_avi(m) for m in media]
+        read = [read_avi(m) if m[:4] == b"RIFF" and m[8:12] == b"AVI " else ([], 1 / RATE) for m in media]
         first = np.r_[0, np.cumsum([len(images) for images, _ in read])]
-        yield batch, media, decode_frames([x for images, _ in read for x in images]), first, [s for _, s in read]
+        images = [x for images, _ in read for x in images]
+        if all(x.startswith(JPEG_HEAD) for x in images):
+            frames = decode_frames(images)
+            own = [frames[a:b] for a, b in zip(first[:-1], first[1:])]
+        else:
+            own = [decode_frames(images) for images, _ in read]
+        yield batch, media, own, [s for _, s in read]
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """``media(doc_id, media)`` -> a row per shot: ``doc_id, clip, first_frame, frames, begins, ends, change``, times in seconds."""
+    """``media(doc_id, media)`` -> a row per shot: ``doc_id, clip, first_frame, frames, begins, ends, change``, times in seconds.
+
+    Defined cases: null media and what is no AVI file have no frames and no clips; frames may differ in size; of equal
+    differences each passes the threshold or none; an empty table gives no rows; extra columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, frames, first, seconds in _opened(batches):
+        for batch, _, frames, seconds in _opened(batches):
             rows = []
             for i, key in enumerate(batch.column("doc_id").to_pylist()):
-                own = frames[first[i] : first[i + 1]]
+                own = frames[i]
                 begin, d = shots(own)
                 for k, (a, b) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(own)])):
                     rows.append((key, k, a, b - a, a * seconds[i], b * seconds[i], float(d[a])))
@@ -232,20 +257,24 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """``media(doc_id, n_bytes, media)`` -> what the stored bytes give when read back: digests of the payload and a feature of the shots."""
+    """``media(doc_id, n_bytes, media)`` -> what the stored bytes give when read back: digests of the payload and a feature of the shots.
+
+    Defined cases: null media and what is no AVI file have an empty payload and no frames; frames may differ in size; an
+    empty table gives no rows; extra columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, media_, frames, first, _ in _opened(batches):
+        for batch, media_, frames, _ in _opened(batches):
             rows = []
-            for i, m in enumerate(media_):
-                own = frames[first[i] : first[i + 1]]
-                payload = own.tobytes()
+            for own, m in zip(frames, media_):
+                payload = own.tobytes() if isinstance(own, np.ndarray) else b"".join(x.tobytes() for x in own)
                 begin, d = shots(own)
-                feature = f"frames={len(own)};shots={len(begin)};peak={d.max():.4f};mean={own.mean():.3f}"
+                mean = np.frombuffer(payload, np.uint8).mean() if payload else 0.0
+                feature = f"frames={len(own)};shots={len(begin)};peak={d.max(initial=0.0):.4f};mean={mean:.3f}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -158,6 +158,29 @@ def test_media_round_trip(spark, edges, nothing):
     assert motion_jpeg.digests(motion_jpeg.encode(nothing)).count() == 0
 
 
+def test_media_without_frames(spark, nothing):
+    media = spark.createDataFrame([(1, 3, None, "x"), (2, 0, b"", "x"), (3, 4, b"GIF89a", "x")], "doc_id long, n_bytes long, media binary, feature string")
+    assert motion_jpeg.clips(media).count() == 0
+    got = [(r.payload_bytes, r.feature) for r in motion_jpeg.digests(media).collect()]
+    assert got == [(0, "frames=0;shots=0;peak=0.0000;mean=0.000")] * 3
+
+
+def test_frames_of_differing_size(spark, monkeypatch):
+    images = motion_jpeg.encode_frames(np.zeros((2, 18, 32), np.uint8))
+    head = motion_jpeg.JPEG_HEAD.replace(b"\x00\x12\x00\x20", b"\x00\x09\x00\x20")
+    half = head + np.packbits(motion_jpeg._SYMBOL_BITS[np.r_[-128, np.zeros(287, int)] + 255].ravel()).tobytes().replace(b"\xff", b"\xff\x00") + motion_jpeg.JPEG_TAIL
+    frames = motion_jpeg.decode_frames([images[0], half])
+    assert [x.shape for x in frames] == [(18, 32), (9, 32)] and not frames[0].any() and not frames[1].any()
+    assert len(motion_jpeg.shots(frames)[0]) == 1
+
+
+def test_long_media_in_parts(monkeypatch):
+    frames = np.random.default_rng(2).integers(0, 256, (50, 18, 32)).astype(np.uint8)
+    whole = motion_jpeg.encode_frames(frames)
+    monkeypatch.setattr(motion_jpeg, "AT_ONCE", 7)
+    assert motion_jpeg.encode_frames(frames) == whole and (motion_jpeg.decode_frames(whole) == frames).all()
+
+
 def test_jpeg_by_its_own_table():
     frames = np.random.default_rng(1).integers(0, 256, (3, 18, 32)).astype(np.uint8)
     images = motion_jpeg.encode_frames(frames)
@@ -208,6 +231,61 @@ def test_leaks_in_other_case(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
+def test_leaks_by_row(spark):
+    """Rows without an id, and rows of one id with different texts, are judged one by one; repeated rows count once."""
+    item = "The red fox crossed the old bridge before the rain came and slept under the mill until morning."
+    rows = [(None, item), (None, "nothing of it at all in here"), (5, item), (5, "some other text of five"), (5, item), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, 1, "w") for i, t in rows], "doc_id long, text string, item_id int, window string")
+    bench = spark.createDataFrame([(None, item), (2, item), (None, "A second thing without a number that nobody ever said.")], "item_id long, text string")
+    assert sorted(map(repr, ((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()))) == sorted(map(repr, [(None, None), (None, 2), (5, None), (5, 2)]))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench).collect()))) == sorted(map(repr, [rows[1], rows[3], rows[5], rows[6]]))
+
+
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_tables_of_numbers_are_no_evidence(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    table_ = " ".join(str(i * 37 % 1000) for i in range(40))
+    other = " ".join(str(i * 53 % 997 + 3) for i in range(40))
+    bench = spark.createDataFrame([(1, table_), (2, "Take 3 eggs and 4 spoons of flour and stir them for 5 minutes.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, other), (2, "see " + table_), (3, "Take 6 eggs and 8 spoons of flour and stir them for 9 minutes.")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(2, 1), (3, 2)]
+
+
+def test_names_beyond_ascii(spark):
+    item = "Gestern kaufte Änne Özdemir sieben Brote und trug sie mit Émile bis an den Fluss hinunter."
+    other = item.replace("Änne Özdemir", "Ulla Übel").replace("Émile", "Óscar")
+    docs = spark.createDataFrame([(1, other), (2, item.lower())], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()) == [1, 2]
+
+
+def brute_templates(items, docs):
+    """Re-parameterised copies by plain regular expressions: an item's words, with any filler for each of its numbers, filled alike."""
+    found = set()
+    for j, item in items.items():
+        seen, parts = {}, []
+        for w in item.split():
+            if w[0].isdigit():
+                parts.append(rf"(?P=g{seen[w]})" if w in seen else rf"(?P<g{seen.setdefault(w, len(seen))}>\d+)")
+            else:
+                parts.append(re.escape(w))
+        pattern = re.compile(r"(?<!\S)" + r"\s+".join(parts) + r"(?!\S)", re.I)
+        found |= {(i, j) for i, t in docs.items() if pattern.search(t)}
+    return found
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(11)
+    some = lambda: rng.choice("tank road field lamp cup wire bell door rope coin".split())
+    items = {j: " ".join(str(rng.randrange(90) + 10) if k % 5 == 3 else some() + some() for k in range(24)) for j in range(12)}
+    docs = {}
+    for i in range(120):
+        one = items[i % 12] if i % 3 else " ".join(some() + some() for _ in range(24))
+        numbers = {w: str(rng.randrange(900) + 100) for w in set(one.split()) if w.isdigit()}
+        docs[i] = " ".join([some(), some(), *(numbers.get(w, w) for w in one.split()), some()]) if i % 2 else one.rsplit(" ", 12)[0]
+    got = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_templates(items, docs) != set()
+
+
 def test_short_items_and_edges(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "two words"), (2, "words")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(edges, bench).collect()) == [(4, 1), (4, 2)]
