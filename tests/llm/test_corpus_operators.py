@@ -363,14 +363,6 @@ def test_language_held_out(spark, sf):
     assert np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.95
 
 
-def test_kneser_ney_sums_to_one(spark):
-    model = langid.train(spark.createDataFrame([("abc abd bcd dab", "x"), ("bad cab dab", "x")], "text string, lang string"))["x"]
-    context = [np.full(5, ord(c), np.uint32) for c in "dab"]
-    p = np.exp(langid.log_probability(model, [*context, np.array([ord(c) for c in "abcd "], np.uint32)]))
-    unknown = np.exp(langid.log_probability(model, [np.array([ord(c)], np.uint32) for c in "dabz"]))
-    assert p.sum() + unknown[0] == pytest.approx(1, abs=1e-6)
-
-
 def test_cumulative_link():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(900, 3))
