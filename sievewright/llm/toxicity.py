@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.linear import Rows, fit_logistic, sigmoid
-from sievewright.llm.scratch import crc_part, labelled_sample
+from sievewright.llm.scratch import bounded_sample, crc_part, labelled_sample
 from sievewright.llm.texts import U, raw_bytes, slices, word_hashes, word_spans
 
 TERM_BITS = 20
 #: Byte lengths of word beginnings that are terms besides whole words.
 STEMS = (4, 5, 6)
-#: Bounds of the sample of labelled rows that the model is fitted on, and most lexicon voters.
+#: Bounds of the samples of labelled rows (they propose voters) and of rows whose labels are not read (they fit the label model and the
+#: classifier), and most lexicon voters.
 SAMPLE_ROWS, SAMPLE_BYTES, VOTERS = 12_000, 40 << 20, 160
+#: Pseudo-counts by which a voter's dependence on another is drawn to its own rates.
+DRAWN = 20.0
 #: Words that insult in English, voters from the start.
 SEEDS = ("idiot", "idiots", "stupid", "moron", "loser", "losers", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "ugly", "hate", "garbage", "filth", "vermin", "imbecile")
 
@@ -55,90 +58,138 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(xs, pa.binary()), pa.array(ns, pa.binary()), pa.array(words), pa.array(shouted)], ["label", "x", "n", "words", "shouted"])
 
 
-def _correlations(rest: np.ndarray) -> np.ndarray:
-    """Absolute correlations of centred columns, 0 on the diagonal."""
-    spread = np.sqrt((rest**2).mean(0)) + 1e-9
-    corr = np.abs((rest.T @ rest) / len(rest) / spread[:, None] / spread[None, :])
-    np.fill_diagonal(corr, 0)
-    return corr
+def _pairs(shown: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts of the votes of every two voters, ``(m, 3, m, 3)``; ``shown`` has a column for each voter and vote."""
+    m = shown.shape[1] // 3
+    return (shown.T @ (shown * weight[:, None].astype(np.float32))).astype(np.float64).reshape(m, 3, m, 3)
+
+
+def _tree(joint: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Each voter with the one that it depends on (-1: none): the spanning tree of largest mutual information within the labels."""
+    m = joint[0].shape[0]
+    total = sum(x[0, :, 0, :].sum() for x in joint) if m else 0
+    gain = np.zeros((m, m))
+    for counts in joint:
+        p = (counts + 0.05).transpose(0, 2, 1, 3)
+        n = p.sum((2, 3), keepdims=True)
+        p = p / n
+        gain += (counts.sum((1, 3)) / total) * (p * (np.log(p) - np.log(p.sum(3, keepdims=True)) - np.log(p.sum(2, keepdims=True)))).sum((2, 3))
+    order, best, parent = [], np.full(m, -np.inf), np.full(m, -1)
+    left = np.ones(m, bool)
+    for _ in range(m):
+        j = int(np.argmax(np.where(left, best, -np.inf))) if order else 0
+        order.append((j, int(parent[j])))
+        left[j] = False
+        closer = left & (gain[j] > best)
+        best[closer], parent[closer] = gain[j][closer], j
+    return order
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1, and each voter's accuracy and weight, from votes in {-1, 0, 1} alone.
+    """Posterior of label 1, each voter's accuracy, and the voter that each depends on, from votes in {-1, 0, 1} and the share of label 1 alone.
 
-    A generative model: given the label, voter ``j`` is silent, right or wrong with rates of its own,
-    estimated by expectation maximisation. Voters that correlate beyond what the label explains share
-    their evidence: a voter's log odds are divided by one plus the sum of its residual correlations.
+    A generative model: given the label, a voter is silent, right or wrong with rates that depend on the label and on one other
+    voter, its parent in a tree; rates are estimated by expectation maximisation, the tree anew as the labels become
+    clear. So a voter that repeats another, or votes with it beyond what the label explains, adds only what is its own.
     """
-    m = votes.shape[1]
-    # voters that are all but copies of each other count as one from the start, or they would be taken for the label
-    copies = _correlations(votes - votes.mean(0))
-    alone = 1 / (1 + np.where(copies > 0.9, copies, 0).sum(1))
-    share = alone
-    post = np.clip(prior + 0.9 * np.sign(votes @ share), 0.02, 0.98)
-    rates = np.zeros((2, 3, m))
+    n, m = votes.shape
+    shown = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(np.float32)
+    # at the start voters that are all but copies of each other count as one, or they would be taken for the label
+    rest = votes - votes.mean(0)
+    spread = np.sqrt((rest**2).mean(0)) + 1e-9
+    alike = np.abs(rest.T @ rest / n / spread[:, None] / spread[None, :])
+    score = votes @ (1 / np.maximum(np.where(alike > 0.9, alike, 0).sum(1), 1))
+    post = np.where((score > 0) & (score >= np.quantile(score, 1 - prior)), 0.95, 0.05)
+    tree: list[tuple[int, int]] = []
     for turn in range(rounds):
-        for y, weight in ((0, 1 - post), (1, post)):
-            for k, v in enumerate((-1, 0, 1)):
-                rates[y, k] = ((votes == v) * weight[:, None]).sum(0) + 0.1
-            rates[y] /= rates[y].sum(0)
-        if turn in (3, 10):
-            # residual correlations of votes, within the labels as now estimated
-            mean = [(votes * q[:, None]).sum(0) / q.sum() for q in (1 - post, post)]
-            rest = votes - (1 - post)[:, None] * mean[0] - post[:, None] * mean[1]
-            corr = _correlations(rest)
-            share = np.minimum(alone, 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1)))
-        p = np.clip(post.mean(), 0.005, 0.7)
-        logit = np.log(p / (1 - p)) + ((np.log(rates[1]) - np.log(rates[0]))[votes + 1, np.arange(m)] * share).sum(1)
+        joint = [_pairs(shown, q) for q in (1 - post, post)]
+        if turn in (0, 4, 12):
+            tree = _tree(joint)
+        logit = np.full(n, np.log(prior / (1 - prior)))
+        for j, k in tree:
+            table = []
+            for counts in joint:
+                own = counts[k, :, j, :] if k >= 0 else counts[j, :, j, :].sum(0, keepdims=True)
+                # some votes are drawn from the voter's own rates, whatever the parent says
+                alone = counts[j, :, j, :].sum(0) + 0.1
+                own = own + DRAWN * alone / alone.sum()
+                table.append(np.log(own / own.sum(1, keepdims=True)))
+            odds = table[1] - table[0]
+            logit += odds[votes[:, k] + 1 if k >= 0 else 0, votes[:, j] + 1]
         post = sigmoid(logit)
-    right = rates[1, 2] * post.mean() + rates[0, 0] * (1 - post.mean())
-    wrong = rates[0, 2] * (1 - post.mean()) + rates[1, 0] * post.mean()
-    return post, right / (right + wrong), share
+    own = [np.stack([(shown[:, 3 * np.arange(m) + v] * q[:, None]).sum(0) for v in range(3)]) for q in (1 - post, post)]
+    right, wrong = own[1][2] + own[0][0] + 0.1, own[0][2] + own[1][0] + 0.1
+    return post, right / (right + wrong), np.array([k for _, k in sorted(tree)])
+
+
+def _held(got, kind: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype) for b in got[kind]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> dict:
     """``docs(doc_id, text)``, ``labels(doc_id, label)`` -> the classifier: weights of hashed terms and a bias.
 
-    Labels choose which terms are voters (terms that occur in toxic rows far above their share) and the
-    prior; what each vote is worth comes from the label model, and its posterior trains the classifier.
+    Labels propose the lexicon voters (terms that occur in toxic rows far above their share, beside a list of fixed words and
+    pattern voters) and the first guess of the share of toxic rows. What each vote is worth, and how voters depend on each
+    other, comes from the label model on rows whose labels are not read; its posterior picks the
+    classifier's terms and trains it.
+
+    Equal texts and equal ids with different labels have the label of most of their rows, toxic on a tie.
     """
-    sample = labelled_sample(docs.where("text is not null"), labels.where("label is not null"), rows, text_bytes)
-    got = sample.dropDuplicates(["text"]).select("text", F.col("label").cast("int").alias("label")).mapInArrow(_extract, "label int, x binary, n binary, words bigint, shouted bigint").toPandas()
-    dims, y = 1 << TERM_BITS, got["label"].to_numpy()
-    xs = [np.frombuffer(b, np.uint32) for b in got["x"]]
+    rated = labels.where("label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    sample = labelled_sample(docs.where("text is not null"), rated, rows, text_bytes).groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    schema = "label int, x binary, n binary, words bigint, shouted bigint"
+    got = sample.select("text", "label").mapInArrow(_extract, schema).toPandas()
+    dims, y = 1 << TERM_BITS, got["label"].to_numpy().astype(int)
+    xs = _held(got, "x", np.uint32)
     index = np.concatenate(xs) if xs else np.zeros(0, np.uint32)
     row = np.repeat(np.arange(len(xs), dtype=np.int32), [len(r) for r in xs])
     pos, every = np.bincount(index[y[row] == 1], minlength=dims), np.bincount(index, minlength=dims)
     n, n1 = max(len(y), 1), int((y == 1).sum())
-    seeds = np.unique(terms(pa.array([" ".join(SEEDS)]))[1][: len(SEEDS)])
     # evidence for a term: a z-score of its toxic occurrences against its share
     expected = every * n1 / n
     z = (pos - expected) / np.sqrt(np.maximum(expected * (1 - n1 / n), 1e-9) + 0.25)
-    least = max(3, 0.01 * n1)
-    fit_for = (pos >= least) & (pos >= 0.8 * every)
-    mined = np.flatnonzero(fit_for)
+    mined = np.flatnonzero((pos >= max(3, 0.01 * n1)) & (pos >= 0.8 * every) & (z >= 5))
     mined = mined[np.argsort(-z[mined], kind="stable")][:VOTERS]
-    lexicon = np.union1d(mined, seeds)
-    column = np.full(dims, -1)
+    lexicon = np.union1d(mined, np.unique(terms(pa.array([" ".join(SEEDS)]))[1][: len(SEEDS)]))
+    del got, xs, index, row, z
+
+    # from here on no label is read
+    pool = bounded_sample(docs.where("text is not null"), rows, text_bytes).select("text", F.lit(0).alias("label")).distinct()
+    got = pool.mapInArrow(_extract, schema).toPandas()
+    if not len(got):
+        return {"w": np.zeros(dims, np.float32), "b": -3.0, "accuracy": np.zeros(0), "parent": np.zeros(0)}
+    xs = _held(got, "x", np.uint32)
+    votes = _votes(xs, _held(got, "n", np.uint8), got["words"].to_numpy(), got["shouted"].to_numpy(), lexicon)
+    post, accuracy, parent = label_model(votes, min(0.5, max(0.01, n1 / n)))
+    # the classifier sees terms that tell the posterior's labels
+    index = np.concatenate(xs)
+    row = np.repeat(np.arange(len(xs), dtype=np.int32), [len(r) for r in xs])
+    pos, every, share = np.bincount(index, post[row], dims), np.bincount(index, minlength=dims), post.mean()
+    z = (pos - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9) + 0.25)
+    # apart, so that long texts do not add up noise; terms for toxicity are such for the most part of their rows
+    useful = (np.abs(z) >= 5) & (every >= max(3, 0.01 * post.sum())) & ((pos >= 0.5 * every) | (z < 0))
+    useful[lexicon] = True
+    w, b = fit_logistic(Rows([r[useful[r]] for r in xs]), post, dims)
+    return {"w": np.where(useful, w, 0).astype(np.float32), "b": b, "accuracy": accuracy, "parent": parent}
+
+
+def _votes(xs: list[np.ndarray], ns: list[np.ndarray], words: np.ndarray, shouted: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Votes of the lexicon's terms (1 or silent) and of patterns: several terms, density of terms, none at all, shouting."""
+    column = np.full(1 << TERM_BITS, -1)
     column[lexicon] = np.arange(len(lexicon))
-    votes = np.zeros((len(y), len(lexicon) + 4), np.int8)
-    hit = column[index] >= 0
-    votes[row[hit], column[index[hit]]] = 1
-    times = np.concatenate([np.frombuffer(b, np.uint8) for b in got["n"]]) if xs else np.zeros(0, np.uint8)
-    distinct = np.bincount(row[hit], minlength=len(y))
-    total = np.bincount(row[hit], times[hit], len(y))
-    del index, row, hit, times
-    # pattern voters: several terms, density of terms, none at all, shouting
+    votes = np.zeros((len(xs), len(lexicon) + 4), np.int8)
+    distinct, total = np.zeros(len(xs)), np.zeros(len(xs))
+    for i, (x, n) in enumerate(zip(xs, ns)):
+        own = column[x]
+        hit = own >= 0
+        votes[i, own[hit]] = 1
+        distinct[i], total[i] = hit.sum(), n[hit].sum()
     votes[:, -4] = np.where(distinct >= 2, 1, np.where(distinct == 0, -1, 0))
-    votes[:, -3] = np.where(total > 0.02 * got["words"].to_numpy(), 1, np.where(total < 0.002 * got["words"].to_numpy(), -1, 0))
+    votes[:, -3] = np.where(total > 0.02 * words, 1, np.where(total < 0.002 * words, -1, 0))
     votes[:, -2] = np.where(distinct == 0, -1, 0)
-    votes[:, -1] = np.where(got["shouted"].to_numpy() > 0.3 * got["words"].to_numpy(), 1, 0)
-    post, accuracy, share = label_model(votes, min(0.5, max(0.01, n1 / n))) if len(y) else (np.zeros(0), np.zeros(0), np.zeros(0))
-    # the classifier sees terms that tell labels apart, so that long texts do not add up noise
-    useful = (np.abs(z) >= 5) & (every >= least)
-    useful[lexicon] = True
-    w, b = fit_logistic(Rows([r[useful[r]] for r in xs]), post, dims)
-    return {"w": np.where(useful, w, 0).astype(np.float32), "b": b if len(y) else -3.0, "accuracy": accuracy, "share": share}
+    votes[:, -1] = np.where(shouted > 0.3 * words, 1, 0)
+    return votes
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -161,7 +212,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document; rows whose crc32 modulo ``folds`` is 0 are never learned from.
 
     Defined cases: null and wordless texts score at most 0.01; a null ``doc_id`` is held out; repeated rows are
-    scored each; without labels only the fixed words vote; extra columns and clashing names are ignored.
+    scored each; ids labelled twice have the label of most rows, toxic on a tie; without labels only the fixed words and
+    patterns vote; an empty table gives no rows; extra columns and clashing names are ignored.
     """
     held = F.coalesce(crc_part(folds) == 0, F.lit(True)).alias("held_out")
     known = labels.select("doc_id", F.col("toxic").alias("label")).where(crc_part(folds) != 0)

@@ -326,15 +326,6 @@ def test_mix_comes_near_its_target(spark):
         assert abs(r.t - r.target) <= 9
 
 
-def test_label_model():
-    rng = np.random.default_rng(5)
-    y = rng.random(3000) < 0.3
-    votes = np.stack([np.where(rng.random(3000) < a, np.where(y, 1, -1), np.where(y, -1, 1)) * (rng.random(3000) < 0.8) for a in (0.9, 0.85, 0.8, 0.6)], 1).astype(np.int8)
-    votes = np.concatenate([votes, votes[:, 3:4]], 1)  # one voter twice
-    post, accuracy, share = toxicity.label_model(votes, 0.3)
-    assert ((post > 0.5) == y).mean() > 0.9 and accuracy[0] > accuracy[3] and share[3] < 0.7 < share[0]
-
-
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["calm", "river", "stone", "idea", "table"]) + str(rng.randrange(3)) for _ in range(30)) + (" you idiot moron" if i % 6 == 0 else "")) for i in range(600)]
@@ -372,12 +363,6 @@ def test_cumulative_link():
     assert w == pytest.approx([2, -1, 0], abs=0.4) and theta == pytest.approx([-1.5, 0, 1.5], abs=0.4)
 
 
-def test_quality_on_labels(spark, sf):
-    want = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
-    got = {r.doc_id: r.kept for r in queries.op8_quality(spark, sf).collect()}
-    assert np.mean([got[i] == bool(q) for i, q in want.items() if i in got]) > 0.9
-
-
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 
 
