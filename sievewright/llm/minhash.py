@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.components import connected_components
@@ -26,7 +26,7 @@ SEARCHED = 64
 #: Slack of the signature's estimate below the threshold: four standard deviations.
 SLACK = 0.13
 #: Rows and shingles of one block of a large cluster.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Buckets of the histogram by which shingles are rare or common.
 RARITY_BITS = 18
 
@@ -283,6 +283,38 @@ def _alike(rows: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return _in_blocks(rows.join(sigs, "node"), "region").mapInArrow(_neighbours(least), "a bigint, b bigint")
 
 
+def _enough_blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets(cluster, blocks, node, shingles)``: pairs ``a, b`` that span the links of each cluster.
+
+    A large cluster is first compared block by block, each beside the cluster's first member, which ties together the blocks of
+    near copies. Rows that do not belong to the component of most rows by then are compared with all blocks, in blocks of their
+    own; rows of that component need no more, so near copies are moved once.
+    """
+    own = sets.withColumn("lo", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("hi", F.lit(-1))
+    hubs = own.where("blocks > 1 and node = cluster").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> lo")
+    columns = ["cluster", "lo", "hi", "node", "shingles"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_confirm(percent), "a bigint, b bigint")
+
+    near = materialize(compared(own.select(columns).unionByName(hubs.withColumn("lo", F.col("to")).select(columns))))
+    large = own.where("blocks > 1")
+    if large.isEmpty():
+        return near
+    rooted = large.select("cluster", "node", (F.octet_length("shingles") / 8).alias("n_shingles")).join(connected_components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    rest = materialize(rooted.join(most, "cluster").where("root <> main").select("cluster", "node", "n_shingles"))
+    groups = rest.groupBy("cluster").agg(_enough_blocks().alias("others"))
+    every = large.join(groups, "cluster")
+    by_block = every.withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(columns)
+    alone = every.join(rest.select("node"), "node", "left_semi").withColumn("hi", F.pmod(F.xxhash64("node", F.lit("other")), F.col("others")).cast("int"))
+    return near.union(compared(by_block.unionByName(alone.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns))))
+
+
 def _rare_way(sets: DataFrame, edges: DataFrame, sigs: DataFrame, percent: int, least: float) -> DataFrame:
     """Pairs of crowded rows, found by what is rare: sets that are alike share one of their rarest shingles.
 
@@ -312,7 +344,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     its rarest shingles in the other's rarest, so rows of crowded regions meet there once more, in groups by rare
     shingle (dealt in pairs of blocks where crowded), unless the forest has them all in one cluster. Rows whose signatures
     agree enough to allow the threshold join one cluster. Members of a cluster are then compared on full shingle sets, by size
-    and rare shingles, large clusters in pairs of blocks, and only a spanning star of links leaves a task.
+    and rare shingles, large clusters block by block (see :func:`_links`), and only a spanning star of links leaves a task.
 
     Defined cases: null or blank texts have no shingles and link with nothing; shorter texts than
     ``width`` words have one shingle; repeated rows are all returned, with the same component; rows of one ``doc_id`` with
@@ -347,11 +379,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     discard(kept)
 
     sized = clusters.join(reps.select("node", "n_shingles"), "node")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = sized.groupBy("cluster").agg(_enough_blocks().alias("blocks"))
     members = texts(clusters.join(blocks, "cluster").select("cluster", "blocks", "node"))
-    shingles = members.select("cluster", "blocks", "node", "text").mapInArrow(_class_sets(width), "cluster bigint, blocks int, node bigint, shingles binary")
-    links = _in_blocks(shingles, "cluster").mapInArrow(_confirm(percent), "a bigint, b bigint")
-    found = connected_components(links)
+    sets = members.select("cluster", "blocks", "node", "text").mapInArrow(_class_sets(width), "cluster bigint, blocks int, node bigint, shingles binary")
+    found = connected_components(_links(materialize(sets), percent))
 
     classes = reps.select("node", "k2", "n_shingles", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = classes.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("low"))

@@ -64,3 +64,15 @@ def test_rows_of_one_id_with_other_texts(spark):
     df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, rep int, node int, k1 int, crowd int")
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 3, 85).collect())
     assert got == [(7, 38, 7, True), (7, 38, 7, True), (7, 38, 7, True), (8, 39, 7, False), (9, 39, 7, False), (10, 3, 10, True)]
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_large_clusters_block_by_block(spark, monkeypatch, block):
+    """Near copies of several bases that are alike enough to be one cluster, so that some rows are beside the main component."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    rng, texts = random.Random(7), {}
+    for i in range(160):
+        base = swapped([f"b{k}" for k in range(80)], 4, random.Random(i % 7))
+        texts[i] = " ".join(swapped(base, rng.randint(0, 3), rng))
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
