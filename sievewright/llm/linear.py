@@ -10,9 +10,9 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.start = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate(values).astype(np.float64) if values else np.ones(len(self.index))
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.start))
+        self.index = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.value = np.concatenate(values).astype(np.float32) if values else np.ones(len(self.index), np.float32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.start))
         self.n = len(rows)
 
     def dot(self, w: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from sievewright.llm.texts import U, mix, raw_bytes, slices, word_hashes, word_s
 DIMS_BITS, WORD_BITS, WORD_SHARE = 14, 17, 0.5
 DIMS = (1 << DIMS_BITS) + (1 << WORD_BITS)
 #: Bounds of the sample of rated rows that the model is fitted on.
-SAMPLE_ROWS, SAMPLE_BYTES = 10_000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24 << 20
 #: A document is accepted while the probability of the highest grades is at least this.
 LEAST_TAIL = 0.5
 
