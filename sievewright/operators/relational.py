@@ -26,11 +26,29 @@ def keyset_page(df: DataFrame, sort: Column, identity: str, limit: int, after: t
     return df.orderBy(*order).limit(limit + 1)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], forever: str = "9999-12-31") -> DataFrame:
-    """Pairs of equal keys whose closed intervals ``(start, until)`` meet; a null end is open. Columns of the right side end in ``_r``."""
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], forever: str = "9999-12-31", bin_seconds: int = 3600) -> DataFrame:
+    """Pairs of equal keys whose closed intervals ``(start, until)`` meet; a null end is open. Columns of the right side end in ``_r``.
+
+    Time is cut into bins; rows meet only in bins that both reach, and a pair counts in the first of these. Intervals that reach
+    over more than a thousand bins would be copied too often: they meet the other side by key alone.
+    """
     renamed = right.select(*keys, *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys])
     end = F.to_timestamp(F.lit(forever))
-    return left.join(renamed, keys).where((F.col("start") <= F.coalesce("until_r", end)) & (F.col("start_r") <= F.coalesce("until", end)))
+
+    def binned(df: DataFrame, start: str, until: str, first: str) -> tuple[DataFrame, DataFrame]:
+        number = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bin_seconds)
+        told = df.withColumn(first, number(start)).withColumn("_last", F.coalesce(number(until), F.lit(1 << 40)))
+        short = F.col("_last") - F.col(first) < 1000
+        return told.where(short & (F.col(first) <= F.col("_last"))).withColumn("_bin", F.explode(F.sequence(first, "_last"))).drop("_last"), told.where(~short).drop("_last", first)
+
+    a, long_a = binned(left, "start", "until", "_a")
+    b, long_b = binned(renamed, "start_r", "until_r", "_b")
+    meet = (F.col("start") <= F.coalesce("until_r", end)) & (F.col("start_r") <= F.coalesce("until", end))
+    out = left.columns + [c for c in renamed.columns if c not in keys]
+    near = a.join(b, [*keys, "_bin"]).where((F.col("_bin") == F.greatest("_a", "_b")) & meet).select(out)
+    far = long_a.join(renamed, keys).where(meet).select(out)
+    once = a.where(F.col("_bin") == F.col("_a"))
+    return near.union(far).union(once.join(long_b, keys).where(meet).select(out))
 
 
 def upsert(state: DataFrame, new: DataFrame, keys: list[str], replace: Column | None = None) -> DataFrame:

@@ -42,10 +42,12 @@ def resolve_companies(incoming: DataFrame, known: DataFrame, names: DataFrame |
     """
     weight = F.when(F.col("kind") == "verified_domain", 3).when(F.col("kind") == "ats_tenant", 2).otherwise(1)
     keys = incoming.withColumn("weight", weight)
-    hits = keys.join(known.distinct(), ["kind", "value"]).select("id", "weight", "company").distinct()
-    best = hits.groupBy("id", "weight").agg(F.count_distinct("company").alias("n"), F.min("company").alias("company"))
+    # one row a key, however many claim it: the least and the largest company tell whether there are several
+    claims = known.groupBy("kind", "value").agg(F.min("company").alias("lo"), F.max("company").alias("hi"))
+    hits = keys.join(claims, ["kind", "value"])
+    best = hits.groupBy("id", "weight").agg(F.when(F.min("lo") == F.max("hi"), 1).otherwise(2).alias("n"), F.min("lo").alias("company"))
     top = best.groupBy("id").agg(F.max(F.struct("weight", "n", "company")).alias("t"))
-    companies = hits.groupBy("id").agg(F.count_distinct("company").alias("companies"))
+    companies = hits.groupBy("id").agg(F.when(F.min("lo") == F.max("hi"), 1).otherwise(2).alias("companies"))
     base = keys.groupBy("id").agg(F.max("weight").alias("strongest")).join(top, "id", "left").join(companies, "id", "left")
     if names is not None:
         base = base.join(names.select("id", F.lit(True).alias("named")).distinct(), "id", "left")

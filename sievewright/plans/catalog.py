@@ -175,12 +175,12 @@ def best_evidence_inner(spark, d):
 
 
 @query("""
-WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events WHERE value > 95 GROUP BY 1, 2)
-SELECT x.event_type, x.user_id AS left_user, y.user_id AS right_user FROM s x JOIN s y ON x.event_type = y.event_type AND x.user_id < y.user_id AND x.a <= y.b AND y.a <= x.b
+WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2, date_trunc('hour', ts))
+SELECT x.event_type, x.user_id AS left_user, y.user_id AS right_user, strftime(x.a, '%Y-%m-%d %H:%M:%S') AS began FROM s x JOIN s y ON x.event_type = y.event_type AND x.user_id < y.user_id AND x.a <= y.b AND y.a <= x.b
 """)
 def interval_overlap_join(spark, d):
-    spans = t(spark, d, "events").where("value > 95").groupBy("user_id", "event_type").agg(F.min("ts").alias("start"), F.max("ts").alias("until"))
-    return relational.overlap_join(spans, spans, ["event_type"]).where("user_id < user_id_r").select("event_type", F.col("user_id").alias("left_user"), F.col("user_id_r").alias("right_user"))
+    spans = t(spark, d, "events").groupBy("user_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.min("ts").alias("start"), F.max("ts").alias("until")).drop("hour")
+    return relational.overlap_join(spans, spans, ["event_type"]).where("user_id < user_id_r").select("event_type", F.col("user_id").alias("left_user"), F.col("user_id_r").alias("right_user"), stamp("start").alias("began"))
 
 
 @query("""
@@ -499,7 +499,7 @@ def title_normalize_ascii(spark, d):
 @query()
 def title_normalize_unicode(spark, d):
     line = F.substring_index("text", "\n", 1)
-    return t(spark, d, "documents").select("doc_id", text.search_title(line).alias("title"), text.company_name(F.substring(line, 1, 80)).alias("name"))
+    return t(spark, d, "documents").select("doc_id", text.search_title(line).alias("title"), text.company_name(line).alias("name"))
 
 
 @query("""
@@ -561,7 +561,7 @@ def public_addresses(spark, d):
 @query()
 def html_sanitize(spark, d):
     page = t(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("visible"))
-    return page.select("page_id", F.length("visible").alias("n_chars"), F.sha2("visible", 256).alias("digest"), text.escape_html(F.substring("visible", 1, 80)).alias("escaped"))
+    return page.select("page_id", F.length("visible").alias("n_chars"), F.sha2("visible", 256).alias("digest"), F.sha2(text.escape_html(F.col("visible")), 256).alias("escaped"))
 
 
 @query("""
@@ -584,12 +584,11 @@ def semantic_fingerprint(spark, d):
 
 
 @query("""
-SELECT event_type AS board, count(*)::BIGINT AS listings, CASE WHEN count(DISTINCT user_id) < count(*) THEN 'duplicate_ids' ELSE 'complete' END AS reason FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1
+SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d %H') AS board, count(*)::BIGINT AS listings, CASE WHEN count(DISTINCT user_id) < count(*) THEN 'duplicate_ids' ELSE 'complete' END AS reason FROM events GROUP BY 1
 """)
 def json_scan_completeness(spark, d):
-    early = t(spark, d, "events").where(F.col("ts") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
     job = F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("title"), F.lit("2024-01-01").alias("updated_at"), F.struct(F.lit("Paris").alias("name")).alias("location"), F.concat(F.lit("https://example.com/"), "event_id").alias("absolute_url"))
-    body = early.groupBy(F.col("event_type").alias("board")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"), F.struct(F.count("*").alias("total")).alias("meta"))).alias("body"))
+    body = t(spark, d, "events").groupBy(F.concat_ws(" ", "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("board")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"), F.struct(F.count("*").alias("total")).alias("meta"))).alias("body"))
     return boards.greenhouse(body).select("board", F.size("listings").cast("long").alias("listings"), "reason")
 
 
@@ -604,7 +603,7 @@ def normalized_listings(spark, d):
 
 @query("""
 WITH inc AS (SELECT s_suppkey AS id, 'verified_domain' AS kind, 'n' || s_nationkey || '.example' AS value, 3 AS w FROM supplier UNION ALL SELECT s_suppkey, 'ats_tenant', 'x:global:' || (s_suppkey % 50), 2 FROM supplier),
-known AS (SELECT c_custkey AS company, 'verified_domain' AS kind, 'n' || c_nationkey || '.example' AS value FROM customer WHERE c_custkey <= 20 UNION SELECT c_custkey, 'ats_tenant', 'x:global:' || (c_custkey % 50) FROM customer WHERE c_custkey <= 20),
+known AS (SELECT c_custkey AS company, 'verified_domain' AS kind, 'n' || c_nationkey || '.example' AS value FROM customer UNION SELECT c_custkey, 'ats_tenant', 'x:global:' || (c_custkey % 50) FROM customer),
 hits AS (SELECT DISTINCT id, w, company FROM inc JOIN known USING (kind, value)), best AS (SELECT id, w, count(DISTINCT company) AS n, min(company) AS company FROM hits GROUP BY 1, 2),
 top AS (SELECT id, arg_max(n, w) AS n, arg_max(company, w) AS company, max(w) AS w FROM best GROUP BY id), tot AS (SELECT id, count(DISTINCT company) AS companies FROM hits GROUP BY id),
 r AS (SELECT DISTINCT inc.id, top.company, CASE WHEN n > 1 THEN 'ambiguous_' || CASE top.w WHEN 3 THEN 'verified_domain' ELSE 'ats_tenant' END WHEN companies > 1 THEN 'conflicting_exact_evidence'
@@ -613,7 +612,7 @@ SELECT id, CASE WHEN reason LIKE 'exact_%' THEN 'match' WHEN reason = 'unclaimed
 """)
 def company_resolution(spark, d):
     keys = lambda df, i, n: df.select(F.col(i).alias("id"), F.explode(F.array(F.struct(F.lit("verified_domain").alias("kind"), F.concat(F.lit("n"), n, F.lit(".example")).alias("value")), F.struct(F.lit("ats_tenant").alias("kind"), F.concat(F.lit("x:global:"), F.col(i) % 50).alias("value")))).alias("k")).select("id", "k.*")
-    known = keys(t(spark, d, "customer").where("c_custkey <= 20"), "c_custkey", "c_nationkey").withColumnRenamed("id", "company")
+    known = keys(t(spark, d, "customer"), "c_custkey", "c_nationkey").withColumnRenamed("id", "company")
     return resolve.resolve_companies(keys(t(spark, d, "supplier"), "s_suppkey", "s_nationkey"), known)
 
 
