@@ -1 +1,5 @@
+"""The registered queries and their SQL."""
 
+from sievewright.plans import catalog, console
+
+__all__ = ["catalog", "console"]
