@@ -103,7 +103,6 @@ def parse(source: str) -> Node:
         rest = re.split(r"</?[a-zA-Z!?]", source[at:], maxsplit=1)[0]
         if rest:
             stack[-1].children.append(rest)
-    measure(root)
     return root
 
 
@@ -149,8 +148,11 @@ def dropped(node: Node, inside: bool) -> bool:
                 some = NAMES.intersection(words)
                 if some and all(w in NAMES or w in HINTS or w in NEUTRAL for w in words):
                     return True
-                if (some or HINTS.intersection(words)) and 2 * node.links > node.chars:
-                    return True
+                if some or HINTS.intersection(words):
+                    if not node.digest:
+                        measure(node)
+                    if 2 * node.links > node.chars:
+                        return True
     return False
 
 
@@ -181,6 +183,7 @@ def main_nodes(root: Node) -> list[Node]:
 
 def blocks(root: Node) -> Iterator[Node]:
     """Every block of a page's main elements, they themselves left out: what may be a template of its site."""
+    measure(root)
     for top in main_nodes(root):
         inside = top.tag in ("article", "main")
         todo = [c for c in top.children if not isinstance(c, str)]
@@ -196,6 +199,8 @@ def blocks(root: Node) -> Iterator[Node]:
 def text_of(root: Node, templates: frozenset[bytes] = frozenset()) -> str:
     """Text of a page's main elements without what is dropped: references decoded, blanks made one, blocks joined by a space."""
     out: list[str] = []
+    if templates and not root.digest:
+        measure(root)
     for top in main_nodes(root):
         inside = top.tag in ("article", "main")
         todo: list = [top]
