@@ -90,7 +90,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
 
     A generative model: given the label, a voter is silent, right or wrong with rates that depend on the label and on one other
     voter, its parent in a tree; rates are estimated by expectation maximisation, the tree anew as the labels become
-    clear. So a voter that repeats another, or votes with it beyond what the label explains, adds only what is its own.
+    clear. So a voter that repeats another, or votes with it beyond what the label explains, adds little beside what is its own.
     """
     n, m = votes.shape
     shown = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(np.float32)
