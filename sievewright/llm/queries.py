@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontaminate, html_text, langid, minhash, mixing, motion_jpeg, quality, secret_scan, toxicity, warc
+from sievewright.llm import decontaminate, html_text, importance, langid, minhash, mixing, motion_jpeg, quality, secret_scan, toxicity, warc
 from sievewright.llm.scratch import table
 
 
@@ -52,10 +52,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = [op1_minhash_forest, op2_html_extraction, op3_motion_jpeg, op4_decontamination, op5_mixing, op6_toxicity, op7_language, op8_quality, op9_secrets, op10_warc]
+    found = [op1_minhash_forest, op2_html_extraction, op3_motion_jpeg, op4_decontamination, op5_mixing, op6_toxicity, op7_language, op8_quality, op9_secrets, op10_warc, op11_importance]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE.replace("{documents}", "documents"), "op10_warc": warc.ORACLE}
+    return {"op5_mixing": mixing.ORACLE.replace("{documents}", "documents"), "op10_warc": warc.ORACLE, "op11_importance": importance.ORACLE}
