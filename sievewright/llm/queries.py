@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import chat_format, decontaminate, html_text, importance, langid, minhash, mixing, motion_jpeg, quality, secret_scan, toxicity, warc
+from sievewright.llm import chat_format, decontaminate, html_text, importance, langid, minhash, mixing, motion_jpeg, prefix_trie, quality, secret_scan, toxicity, warc
 from sievewright.llm.scratch import table
 
 
@@ -62,10 +62,14 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    found = [op1_minhash_forest, op2_html_extraction, op3_motion_jpeg, op4_decontamination, op5_mixing, op6_toxicity, op7_language, op8_quality, op9_secrets, op10_warc, op11_importance, op12_chat_format]
+    found = [op1_minhash_forest, op2_html_extraction, op3_motion_jpeg, op4_decontamination, op5_mixing, op6_toxicity, op7_language, op8_quality, op9_secrets, op10_warc, op11_importance, op12_chat_format, op13_prefix_trie]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE.replace("{documents}", "documents"), "op10_warc": warc.ORACLE, "op11_importance": importance.ORACLE, "op12_chat_format": chat_format.ORACLE}
+    return {"op5_mixing": mixing.ORACLE.replace("{documents}", "documents"), "op10_warc": warc.ORACLE, "op11_importance": importance.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
