@@ -1,19 +1,5 @@
 """Folders that a cluster's machines share."""
 
-from __future__ import annotations
+from sievewright.storage import shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temp folder only where that is unset and Spark is local (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = "file://" + tempfile.mkdtemp(prefix="sievewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+__all__ = ["shared_folder"]
