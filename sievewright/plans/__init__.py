@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from sievewright.plans import catalog, console
+from sievewright.plans import catalog, console, scanning
 
-__all__ = ["catalog", "console"]
+__all__ = ["catalog", "console", "scanning"]
