@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from sievewright.plans import catalog, console, indexes, scanning
+from sievewright.plans import catalog, console, indexes, leasing, scanning
 
-__all__ = ["catalog", "console", "indexes", "scanning"]
+__all__ = ["catalog", "console", "indexes", "leasing", "scanning"]
