@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.scratch import bounded_sample, crc_part, materialize
@@ -83,23 +83,28 @@ def _codes(head: np.ndarray, last: np.ndarray, n: int) -> list[np.ndarray]:
     return [(head >> (_POINT * (n - 2 - k))) & ((1 << _POINT) - 1) for k in range(n - 1)] + [last]
 
 
+def _rank(c: Column) -> Column:
+    """Counts below 65,536 as they are, larger ones by steps of their logarithm: 131,072 ranks at most, in order."""
+    return F.when(c < 65_536, c).otherwise(F.floor(F.log2(c) * 1_024).cast("long") + 65_536 - 16 * 1_024)
+
+
 def _cutoffs(counts: DataFrame, most: int) -> dict[str, tuple[int, float, int]]:
-    """By language: the least count that a table keeps, the discount of Kneser and Ney, and the number of n-grams.
+    """By language: the least rank that a table keeps, the discount of Kneser and Ney, and the number of n-grams.
 
-    From counts of counts, capped at 65,535 ranks a language.
+    From counts of ranks, which are few however many n-grams there are. A rank is kept or left out whole; where not even the highest one fits, none is kept.
     """
     ranks: dict[str, dict[int, int]] = {}
-    for lang, c, n in counts.groupBy("lang", F.least("c", F.lit(65_535)).alias("c")).agg(F.count("*").alias("n")).collect():
-        ranks.setdefault(lang, {})[c] = n
+    for lang, rank, n in counts.groupBy("lang", _rank(F.col("c")).alias("rank")).agg(F.count("*").alias("n")).collect():
+        ranks.setdefault(lang, {})[rank] = n
     out = {}
-    for lang, by_count in ranks.items():
-        kept, least = 0, 65_536
-        for c in sorted(by_count, reverse=True):
-            if kept + by_count[c] > most:
+    for lang, by_rank in ranks.items():
+        kept, least = 0, 1 << 62
+        for rank in sorted(by_rank, reverse=True):
+            if kept + by_rank[rank] > most:
                 break
-            kept, least = kept + by_count[c], c
-        n1, n2 = by_count.get(1, 0) + 0.5, by_count.get(2, 0)
-        out[lang] = (least, n1 / (n1 + 2 * n2 + 0.5), sum(by_count.values()))
+            kept, least = kept + by_rank[rank], rank
+        n1, n2 = by_rank.get(1, 0) + 0.5, by_rank.get(2, 0)
+        out[lang] = (least, n1 / (n1 + 2 * n2 + 0.5), sum(by_rank.values()))
     return out
 
 
@@ -121,12 +126,14 @@ def train(docs: DataFrame, most: int = GRAMS) -> dict:
         known = _cutoffs(tables[n], most)
         if not known:
             return {}
+        for lang, (_, _, types) in known.items() if n == 1 else ():
+            model[lang] = {"u": (np.zeros(1, np.uint64), np.log(np.ones(1) / (types + 1)))}  # where no symbol is kept
         least = docs.sparkSession.createDataFrame([(k, v[0]) for k, v in known.items()], "lang string, least long")
-        kept = tables[n].join(least, "lang").where(F.col("c") >= F.col("least")).drop("least")
+        kept = tables[n].join(least, "lang").where(_rank(F.col("c")) >= F.col("least")).drop("least")
         totals = tables[n].groupBy("lang", "head").agg(F.sum("c").alias("total"))
         rows = kept.join(totals, ["lang", "head"]).toPandas()  # `most` rows a language at most
         for lang, own in rows.groupby("lang"):
-            mine = model.setdefault(lang, {})
+            mine = model[lang]
             _, discount, types = known[lang]
             head, last, c, total = (own[k].to_numpy() for k in ("head", "last", "c", "total"))
             seen = np.maximum(c - discount, 0.0) / total

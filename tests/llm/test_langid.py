@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import langid
 
@@ -84,3 +85,14 @@ def test_rows_without_language_and_one_language(spark):
     df = spark.createDataFrame([(*r, True, "m") for r in rows], "doc_id long, text string, lang string, held_out boolean, _many string")
     got = langid.identify(df.drop("_many")).collect()
     assert len(got) == len(rows) and {r.lang_pred for r in got} == {"en"} and [r.held_out for r in got if r.doc_id is None] == [True]
+
+
+def test_bound_holds_for_any_counts(spark):
+    """Ranks are kept or left out whole: a bound that equal counts would pass leaves them out, below 65,536 and above."""
+    for count in (40, 70_000, 1 << 40):
+        table = spark.createDataFrame([("x", k, count + (k % 3 == 0) * count) for k in range(9)], "lang string, head long, c long")
+        for most, kept in ((2, 0), (3, 3), (8, 3), (9, 9)):
+            least = langid._cutoffs(table, most)["x"][0]
+            assert table.where(langid._rank(F.col("c")) >= least).count() == kept
+    model = langid.train(spark.createDataFrame([("ab ba abab", "x"), ("cd", "y")], "text string, lang string"), most=1)
+    assert set(model) == {"x", "y"} and all(np.isfinite(langid.log_probability(m, [np.array([97], np.uint32)] * 4)).all() for m in model.values())
