@@ -19,8 +19,8 @@ TREES, PERMUTATIONS = 24, 120
 DEPTH = 5
 #: A region of more rows is cut at the first of these prefix lengths that leaves no more.
 REGION_ROWS, DEPTHS = 512, (8, 12, 18, 27)
-#: Rows of one block of a group that is compared in pairs of blocks.
-REGION_BLOCK = 2048
+#: Rows of one block of a group that is compared in pairs of blocks; of groups of more rows than ``REGION_LARGE`` blocks are larger, so that rows are copied less often.
+REGION_BLOCK, REGION_LARGE, LARGE_BLOCK = 512, 8192, 2048
 #: Groups of more rows are searched from row to row, smaller ones are compared all at once.
 SEARCHED = 64
 #: Slack of the signature's estimate below the threshold: four standard deviations.
@@ -315,6 +315,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return near.union(compared(by_block.unionByName(alone.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns))))
 
 
+def _region_blocks(rows: Column) -> Column:
+    """Blocks of a crowded group: any two together are a small part of it."""
+    return F.ceil(rows / F.when(rows > REGION_LARGE, LARGE_BLOCK).otherwise(REGION_BLOCK)).cast("int")
+
+
 def _rare_way(sets: DataFrame, edges: DataFrame, sigs: DataFrame, percent: int, least: float) -> DataFrame:
     """Pairs of crowded rows, found by what is rare: sets that are alike share one of their rarest shingles.
 
@@ -326,7 +331,7 @@ def _rare_way(sets: DataFrame, edges: DataFrame, sigs: DataFrame, percent: int,
     rows = sets.mapInArrow(_rarest(percent, sets.sparkSession.sparkContext.broadcast(common)), "node bigint, region bigint")
     known = connected_components(edges)
     rows = materialize(rows.join(known, "node", "left").select("node", "region", F.coalesce("root", "node").alias("known")))
-    mixed = rows.groupBy("region").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks")).where("a <> b").select("region", "blocks")
+    mixed = rows.groupBy("region").agg(F.min("known").alias("a"), F.max("known").alias("b"), _region_blocks(F.count("*")).alias("blocks")).where("a <> b").select("region", "blocks")
     return _alike(rows.select("node", "region").join(materialize(mixed), "region"), sigs, least)
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import minhash
 from test_corpus_operators import brute_components, near_copies, swapped
@@ -76,3 +77,22 @@ def test_large_clusters_block_by_block(spark, monkeypatch, block):
         texts[i] = " ".join(swapped(base, rng.randint(0, 3), rng))
     got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
+
+
+def test_blocks_of_crowded_groups(spark):
+    """Any two rows of a group meet in some pair of blocks, and no pair of blocks holds most of a crowded group."""
+    sizes = {0: 3, 1: 600, 2: 4000, 3: 9000}
+    rows = spark.createDataFrame([(r, k) for r, n in sizes.items() for k in range(n)], "region long, node long")
+    counts = rows.groupBy("region").agg(minhash._region_blocks(F.count("*")).alias("blocks"))
+    assert {r.region: r.blocks for r in counts.collect()} == {0: 1, 1: 2, 2: 8, 3: 5}
+    dealt = minhash._in_blocks(rows.join(counts, "region"), "region")
+    most = {r.region: r.n for r in dealt.groupBy("region", "lo", "hi").count().groupBy("region").agg(F.max("count").alias("n")).collect()}
+    assert most[0] == 3 and most[2] < 1400 and most[3] < 4500
+    own = dealt.where("region = 1").groupBy("node").agg(F.count("*").alias("n")).agg(F.min("n"), F.count("*")).first()
+    assert tuple(own) == (1, 600)
+    pairs = dealt.where("region = 2").select("node", "lo", "hi").collect()
+    held = {}
+    for p in pairs:
+        held.setdefault(p.node, set()).add((p.lo, p.hi))
+    nodes = sorted(held)[::97]
+    assert all(held[a] & held[b] for a in nodes for b in nodes)
