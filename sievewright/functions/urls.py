@@ -12,8 +12,28 @@ SENSITIVE = r"(?i)(^|[-_])(auth|authorization|credential|jwt|key|password|secret
 PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
 
 
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
+
+
+def scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+
+
+def authority(url: Column) -> Column:
+    """Host and port as they stand, without credentials."""
+    return F.regexp_replace(F.regexp_extract(url, rf"{_SCHEME}([^/?#]*)", 1), "^.*@", "")
+
+
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", "")
+    """Host in lower case, IPv6 addresses in their brackets, without the point that may end it."""
+    return F.regexp_replace(F.lower(F.regexp_extract(authority(url), r"^(\[[^\]]*\]|[^:]*)", 1)), r"\.$", "")
+
+
+def port(url: Column) -> Column:
+    """A port that is given and not the scheme's own, else null."""
+    given = F.regexp_extract(authority(url), r"^(?:\[[^\]]*\]|[^:]*):0*(\d+)$", 1)
+    own = F.when(scheme(url) == "https", "443").when(scheme(url) == "http", "80").otherwise("")
+    return F.when((given != "") & (given != own), given.cast("int"))
 
 
 def path(url: Column) -> Column:
@@ -25,20 +45,35 @@ def query(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    return F.concat(F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1)), F.lit("://"), host(url))
+    return F.concat(scheme(url), F.lit("://"), host(url), F.coalesce(F.concat(F.lit(":"), port(url).cast("string")), F.lit("")))
+
+
+def resolved(where: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    up, stay = r"(?i)^(\.|%2e){2}$", r"(?i)^(\.|%2e)$"
+    kept = F.aggregate(
+        F.split(where, "/"),
+        F.array().cast("array<string>"),
+        lambda had, s: F.when(s.rlike(up), F.slice(had, F.lit(1), F.greatest(F.size(had) - 1, F.lit(1)))).when(s.rlike(stay), had).otherwise(F.concat(had, F.array(s))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(where.rlike(r"(?i)/(\.|%2e){1,2}$"), "/").otherwise(""))
 
 
 def _parameters(url: Column) -> Column:
-    name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~name(p).rlike(TRACKING) & ~name(p).rlike(SENSITIVE))
-    return F.array_join(F.array_sort(kept), "&")
+    """Parameters sorted by name, those of one name as they came, encoded as forms are."""
+    decoded = lambda text: F.coalesce(F.try_url_decode(text), text)
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    given = F.filter(F.split(query(url), "&"), lambda p: p != "")
+    told = F.transform(given, lambda p, i: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"), i.alias("i"), decoded(value(p)).alias("value")))
+    kept = F.filter(told, lambda p: ~p["name"].rlike(TRACKING) & ~p["name"].rlike(SENSITIVE))
+    return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
 
 
 def canonical(url: Column, schemes: str = "https") -> Column:
-    """Canonical form, null where the scheme is another one or the URL has credentials: lower-case host, no fragment,
-    no tracking or secret parameters, the others sorted, single slashes, none at the end."""
-    valid = url.rlike(f"(?i)^({schemes})://[^/?#@]+([/?#]|$)")
-    where = F.regexp_replace(F.regexp_replace(path(url), "/{2,}", "/"), "/$", "")
+    """Canonical form, null where the scheme is another one, the URL has credentials or its port is none: lower-case host, only ports that
+    are not the scheme's own, no fragment, no tracking or secret parameters, the others sorted by name, dot segments resolved, single slashes, none at the end."""
+    valid = url.rlike(rf"(?i)^({schemes})://(\[[0-9a-f:.]+\]|[^/?#@:\[\]]+)(:\d*)?([/?#]|$)") & (F.coalesce(port(url), F.lit(0)) <= 65_535)
+    where = F.regexp_replace(F.regexp_replace(resolved(path(url)), "/{2,}", "/"), "/$", "")
     left = _parameters(url)
     out = F.concat(origin(url), F.when(where == "", F.lit("/")).otherwise(where), F.when(left != "", F.concat(F.lit("?"), left)).otherwise(F.lit("")))
     return F.when(valid, out)

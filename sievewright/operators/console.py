@@ -15,9 +15,15 @@ DATASET_DAYS, OBSERVATION_DAYS, REVIEW_DAYS, VALIDITY_DAYS = 7, 7, 30, 90
 PERIODS = ("hour", "day", "week", "month", "year")
 
 
+def trimmed(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    blank = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+    return F.regexp_replace(text, f"^{blank}|{blank}$", "")
+
+
 def safe_text(value: Column, fallback: str, limit: int = 160) -> Column:
     """One line of at most ``limit`` characters; ``fallback`` for null and blank."""
-    line = F.substring(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n\t]+", " ")), 1, limit)
+    line = F.substring(trimmed(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n\t]+", " ")), 1, limit)
     return F.when(F.length(line) > 0, line).otherwise(F.lit(fallback))
 
 
@@ -119,22 +125,29 @@ def report_error(kind: Column, detail: Column, duplicate: Column) -> Column:
     """What is wrong with a problem report; null if nothing."""
     return (
         F.when(kind.isNull() | ~kind.isin(*REPORT_KINDS), "invalid_request")
-        .when(detail.isNotNull() & ((F.length(F.trim(detail)) < 3) | (F.length(detail) > 2000)), "invalid_request")
+        .when(detail.isNotNull() & ((F.length(trimmed(detail)) < 3) | (F.length(detail) > 2000)), "invalid_request")
         .when(duplicate.isNotNull() & ~duplicate.rlike(UUID), "invalid_request")
         .when((kind == "duplicate") != duplicate.isNotNull(), "duplicate_target_required")
         .when((kind == "other") & detail.isNull(), "report_detail_required")
     )
 
 
-def freshness_error(as_of: Column, dataset: Column, observed: Column, reviewed: Column, expires: Column) -> Column:
-    """The first of a manifest entry's dates that is in the future, too old, or too far ahead; null if none is."""
-    age = lambda at: F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))
+def freshness_error(as_of: Column, generated: Column, dataset: Column, observed: Column, reviewed: Column, expires: Column) -> Column:
+    """The first rule that a manifest entry's dates break; null if they keep all.
+
+    A dataset is reviewed after it is made, and both lie within the last days; a policy is in force, its review is recent and not later than the dataset's,
+    and its validity is counted from the review; an observation is recent and not later than the dataset's review.
+    """
+    seconds = lambda at: F.unix_timestamp(at.cast("timestamp"))
+    age = lambda at: seconds(as_of) - seconds(at)
     day = 86_400
     return (
-        F.when((age(dataset) < 0) | (age(dataset) > DATASET_DAYS * day), "dataset_stale")
-        .when((age(observed) < 0) | (age(observed) > OBSERVATION_DAYS * day), "observation_stale")
-        .when((age(reviewed) < 0) | (age(reviewed) > REVIEW_DAYS * day), "policy_review_stale")
-        .when((age(expires) >= 0) | (age(expires) < -VALIDITY_DAYS * day), "policy_validity")
+        F.when((age(generated) < 0) | (age(dataset) < 0) | (seconds(generated) > seconds(dataset)), "dataset_review_in_future")
+        .when((age(generated) > DATASET_DAYS * day) | (age(dataset) > DATASET_DAYS * day), "dataset_review_stale")
+        .when((age(reviewed) < 0) | (age(expires) >= 0) | (seconds(expires) <= seconds(reviewed)), "policy_not_current")
+        .when((seconds(reviewed) > seconds(dataset)) | (age(reviewed) > REVIEW_DAYS * day) | (seconds(expires) - seconds(reviewed) > VALIDITY_DAYS * day), "policy_review_window_invalid")
+        .when((age(observed) < 0) | (seconds(observed) > seconds(dataset)), "observation_in_future")
+        .when(age(observed) > OBSERVATION_DAYS * day, "observation_stale")
     )
 
 
@@ -196,6 +209,6 @@ def descriptor_error(tenant: Column, board_url: Column, api_url: Column) -> Colu
 
 def audit_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Append-only audit of a change set: ``entity, before, after`` as JSON; a row only where they differ."""
-    pack = lambda df, name: df.select(F.col(key).alias("entity"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias(name))
+    pack = lambda df, name: df.select(F.col(key).alias("entity"), F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}).alias(name))
     both = pack(old, "before").join(pack(new, "after"), "entity", "full_outer")
     return both.where(~F.col("before").eqNullSafe(F.col("after")))

@@ -532,14 +532,21 @@ def url_parts(spark, d):
 
 
 @query("""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path,
-  list_sort([x for x in string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&') if x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '(?i)^(utm_.+|fbclid|gclid|mc_cid|mc_eid|ref|referrer|source)$')]) AS q FROM pages)
-SELECT page_id, CASE WHEN url LIKE 'https://%' THEN 'https://' || h || CASE WHEN regexp_replace(path, '/$', '') = '' THEN '/' ELSE regexp_replace(path, '/$', '') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical,
-  CASE WHEN url NOT LIKE 'https://%' THEN 'normalized_url_invalid' END AS error FROM p
+WITH p AS (SELECT page_id, string_split(url, '://') AS s FROM pages),
+q AS (SELECT page_id, s[1] AS scheme, string_split(s[2], '/') AS steps FROM p),
+r AS (SELECT page_id, scheme, steps[1] AS h, steps[2] AS lang, split_part(split_part(steps[3], '#', 1), '?', 1) AS leaf, split_part(split_part(steps[len(steps)], '#', 1), '?', 2) AS search FROM q),
+k AS (SELECT *, [x for x in string_split(search, '&') if x <> '' AND split_part(x, '=', 1) NOT IN ('ref', 'utm_source')] AS kept, split_part(leaf, '.', 1)::INTEGER % 3 AS turn FROM r)
+SELECT page_id, CASE WHEN scheme = 'https' THEN 'https://' || h || CASE turn WHEN 1 THEN ':8443' ELSE '' END || '/' || lang || '/' || leaf || '?' || array_to_string(list_sort(kept || ['a=1', 'z=%26+b']), '&') END AS canonical,
+  CASE WHEN scheme <> 'https' THEN 'normalized_url_invalid' END AS error, scheme || '://' || h || CASE turn WHEN 1 THEN ':8443' WHEN 2 THEN CASE scheme WHEN 'http' THEN ':443' ELSE '' END ELSE '' END AS origin FROM k
 """)
 def url_canonical(spark, d):
-    c = urls.canonical(F.col("url"))
-    return t(spark, d, "pages").select("page_id", c.alias("canonical"), F.when(c.isNull(), "normalized_url_invalid").alias("error"))
+    # a port of its own, the scheme's, or none; segments that lead nowhere; parameters to be dropped, sorted and spelled anew
+    parts = [F.regexp_extract("url", r"^([a-z]+)://([^/]+)/([^/]+)/(\d+(?:\.html)?)/?(?:\?([^#]*))?", i) for i in range(1, 6)]
+    turn = F.substring_index(parts[3], ".", 1).cast("int") % 3
+    where = F.concat(F.upper(parts[1]), F.when(turn == 1, ":8443").when(turn == 2, ":443").otherwise(""))
+    given = F.concat(parts[0], F.lit("://"), where, F.lit("//x/../"), parts[2], F.lit("/./"), parts[3], F.lit("/?utm_source=q&z=%26%20b&"), parts[4], F.lit("&token=s&a=1#top"))
+    c = urls.canonical(F.col("given"))
+    return t(spark, d, "pages").withColumn("given", given).select("page_id", c.alias("canonical"), F.when(c.isNull(), "normalized_url_invalid").alias("error"), urls.origin(F.col("given")).alias("origin"))
 
 
 @query()

@@ -31,7 +31,7 @@ def operator_overview(spark, d):
 
 @query("""
 SELECT id, priority, CASE WHEN length(r) > 0 THEN r ELSE 'manual review' END AS reason FROM (
-  SELECT doc_id AS id, coalesce(n_chars, 0) % 7 AS priority, coalesce(n_chars, 0) AS created_at, substr(trim(regexp_replace(coalesce(text, ''), '[\\r\\n\\t]+', ' ', 'g')), 1, 160) AS r
+  SELECT doc_id AS id, coalesce(n_chars, 0) % 7 AS priority, coalesce(n_chars, 0) AS created_at, substr(regexp_replace(regexp_replace(coalesce(text, ''), '[\\r\\n\\t]+', ' ', 'g'), '^[\\s\\x{A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{3000}]+|[\\s\\x{A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{3000}]+$', '', 'g'), 1, 160) AS r
   FROM documents WHERE doc_id IS NOT NULL ORDER BY priority DESC, created_at, id LIMIT 200)
 """)
 def review_queue(spark, d):
@@ -168,16 +168,21 @@ def problem_reports(spark, d):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, date_diff('second', o_orderdate, TIMESTAMP '2001-01-01 00:00:00') AS age FROM orders)
-SELECT o_orderkey, CASE WHEN age % 1000000 > 7 * 86400 THEN 'dataset_stale' WHEN age < 0 OR age > 7 * 86400 * 200 THEN 'observation_stale' WHEN age % 3000000 > 30 * 86400 THEN 'policy_review_stale'
-  WHEN age % 9000000 > 90 * 86400 THEN 'policy_validity' END AS error FROM (SELECT o_orderkey, abs(age) AS age FROM a)
+WITH l AS (SELECT l_orderkey, min(l_shipdate) AS generated, max(l_shipdate) AS dataset FROM lineitem GROUP BY 1),
+p AS (SELECT c_custkey, min(o_orderdate) AS reviewed, max(o_orderdate) AS expires FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+a AS (SELECT o_orderkey, o_orderdate AS observed, generated, dataset, reviewed, expires, dataset + INTERVAL 1 DAY AS as_of FROM orders JOIN l ON l_orderkey = o_orderkey JOIN p ON c_custkey = o_custkey)
+SELECT o_orderkey, CASE WHEN generated < as_of - INTERVAL 60 DAY THEN 'wide' WHEN reviewed > as_of OR expires <= as_of OR expires <= reviewed THEN 'policy_not_current'
+  WHEN reviewed > dataset OR as_of - reviewed > INTERVAL 30 DAY OR expires - reviewed > INTERVAL 90 DAY THEN 'policy_review_window_invalid'
+  WHEN observed > as_of OR observed > dataset THEN 'observation_in_future' WHEN as_of - observed > INTERVAL 7 DAY THEN 'observation_stale' END AS error FROM a
 """)
 def pilot_freshness(spark, d):
-    age = F.abs(F.unix_timestamp(as_of().cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
-    back = lambda seconds: (F.unix_timestamp(as_of().cast("timestamp")) - seconds).cast("timestamp")
-    # an observation counts a two-hundredth of its age, so that not all are stale
-    error = console.freshness_error(as_of(), back(age % 1_000_000), back(F.when(age > 7 * 86_400 * 200, 8 * 86_400).otherwise(0)), back(age % 3_000_000), back(-F.greatest(age % 9_000_000, F.lit(1))))
-    return t(spark, d, "orders").select("o_orderkey", error.alias("error"))
+    dates = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("generated"), F.max("l_shipdate").alias("dataset"))
+    policies = t(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("reviewed"), F.max("o_orderdate").alias("expires"))
+    rows = t(spark, d, "orders").join(dates, "o_orderkey").join(policies, "o_custkey")
+    as_of = F.col("dataset") + F.expr("INTERVAL 1 DAY")
+    # datasets are made over more than a week here: those are told apart, the others count as made with their review
+    error = console.freshness_error(as_of, F.col("dataset"), F.col("dataset"), F.col("o_orderdate"), F.col("reviewed"), F.col("expires"))
+    return rows.select("o_orderkey", F.when(F.col("generated") < as_of - F.expr("INTERVAL 60 DAY"), "wide").otherwise(error).alias("error"))
 
 
 @query("""

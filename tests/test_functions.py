@@ -84,3 +84,39 @@ def test_telemetry_fields(spark):
     df = spark.createDataFrame([(i, {k: v}) for i, (k, v, _) in enumerate(seen)], "i int, f map<string,string>")
     got = {r["i"]: r["g"] for r in df.select("i", redaction.safe_fields(F.col("f")).alias("g")).collect()}
     assert [got[i][k] for i, (k, _, _) in enumerate(seen)] == [x for _, _, x in seen]
+
+
+def test_urls_keep_ports_and_brackets(spark):
+    from sievewright.functions import urls
+
+    cases = [
+        ("https://EXAMPLE.com//jobs/1/?utm_source=x&token=secret&b=2&a=1#private", "https://example.com/jobs/1?a=1&b=2", "https://example.com"),
+        ("https://jobs.x.com:8443/a?b=1", "https://jobs.x.com:8443/a?b=1", "https://jobs.x.com:8443"),
+        ("https://x.com:443", "https://x.com/", "https://x.com"),
+        ("https://x.com.:0443/a/", "https://x.com/a", "https://x.com"),
+        ("https://[2001:DB8::1]:8443/a", "https://[2001:db8::1]:8443/a", "https://[2001:db8::1]:8443"),
+        ("https://[::1]/a/b/../../c/./d", "https://[::1]/c/d", "https://[::1]"),
+        ("https://x.com/../../a//b/..", "https://x.com/a", "https://x.com"),
+        ("https://x.com/%2e%2E/a/%2e/b", "https://x.com/a/b", "https://x.com"),
+        ("https://x.com/a?b&a-b=2&a=1&a=0", "https://x.com/a?a=1&a=0&a-b=2&b=", "https://x.com"),
+        ("https://x.com/?q=a%20b+c&p=%zz", "https://x.com/?p=%25zz&q=a+b+c", "https://x.com"),
+        ("https://x.com:99999/", None, "https://x.com:99999"),
+        ("https://x.com:8o/", None, "https://x.com"),
+        ("http://x.com/", None, "http://x.com"),
+        ("https://u:p@x.com/", None, "https://x.com"),
+        ("https://", None, "https://"),
+        (None, None, None),
+    ]
+    got = spark.createDataFrame([(u, k) for k, (u, *_) in enumerate(cases)], "u string, k int").select("k", urls.canonical(F.col("u")).alias("c"), urls.origin(F.col("u")).alias("o")).collect()
+    assert [(cases[r.k][0], r.c, r.o) for r in sorted(got, key=lambda r: r.k)] == cases
+
+
+def test_policy_windows(spark):
+    from sievewright.operators.console import freshness_error, report_error, safe_text
+
+    day = lambda n: F.date_add(F.lit("2024-06-01").cast("date"), n).cast("timestamp")
+    cases = [((-1, 0, -1, -28, 60), None), ((-1, 0, -1, -28, 80), "policy_review_window_invalid"), ((-1, 1, -1, -1, 60), "dataset_review_in_future"), ((0, -1, -1, -1, 60), "dataset_review_in_future"), ((-8, 0, -1, -1, 60), "dataset_review_stale"), ((-2, -2, -2, -1, 60), "policy_review_window_invalid"), ((-1, 0, -1, -31, 30), "policy_review_window_invalid"), ((-1, 0, -1, -1, 0), "policy_not_current"), ((-1, 0, -1, 1, 60), "policy_not_current"), ((-2, -2, -1, -3, 60), "observation_in_future"), ((-1, 0, -8, -1, 60), "observation_stale")]
+    row = spark.range(1).select(*[freshness_error(day(0), *map(day, dates)).alias(f"c{k}") for k, (dates, _) in enumerate(cases)]).first()
+    assert list(row) == [want for _, want in cases]
+    got = spark.range(1).select(report_error(F.lit("other"), F.lit("   "), F.lit(None).cast("string")), safe_text(F.lit("　 \n"), "none"), safe_text(F.lit("  a\tb "), "none")).first()
+    assert list(got) == ["invalid_request", "none", "a b"]
