@@ -59,34 +59,13 @@ def resolve_companies(incoming: DataFrame, known: DataFrame, names: DataFrame |
         .when(F.col("companies") > 1, "conflicting_exact_evidence")
         .when(F.col("t").isNotNull(), F.concat(F.lit("exact_"), kind))
         .when(F.col("named"), "name_similarity_requires_review")
-        .when(F.col("strongest") >= 2, "unclaimed_exact_key")
+        .when(F.col("strongest") >= 2, "unclaimed_exact_identity")
         .otherwise("insufficient_exact_evidence")
     )
-    action = F.when(reason.startswith("exact_"), "match").when(reason == "unclaimed_exact_key", "create").otherwise("review")
+    action = F.when(reason.startswith("exact_"), "match").when(reason == "unclaimed_exact_identity", "create").otherwise("review")
     return base.select("id", action.alias("action"), reason.alias("reason"), F.when(action == "match", F.col("t.company")).alias("company"))
 
 
-def resolve_opportunities(listings: DataFrame, members: DataFrame) -> DataFrame:
-    """Where each listing belongs, within its company: ``id, action, reason, opportunity``.
-
-    ``listings(id, company, requisition, title_set, content, location, start, until)``, ``members`` the same with
-    ``opportunity``. In order: it is a member already; one opportunity shares its requisition (several are
-    ambiguous); title, content and location are equal and the intervals overlap; a title is similar: review; else new.
-    """
-    m = members.select("company", "opportunity", *[F.col(c).alias(f"m_{c}") for c in ("id", "requisition", "title_set", "content", "location", "start", "until")])
-    end = F.lit("9999-12-31").cast("timestamp")
-    overlap = (F.col("start") <= F.coalesce("m_until", end)) & (F.col("m_start") <= F.coalesce("until", end))
-    exact = (F.col("content") == F.col("m_content")) & (F.col("location") == F.col("m_location")) & F.col("title_set").eqNullSafe(F.col("m_title_set")) & overlap
-    rank = F.when(F.col("id") == F.col("m_id"), 4).when(F.col("requisition") == F.col("m_requisition"), 3).when(exact, 2).when(jaccard(F.col("title_set"), F.col("m_title_set")) >= TITLE_REVIEW, 1)
-    hits = listings.join(m, "company").select("id", "opportunity", rank.alias("rank")).where(F.col("rank").isNotNull())
-    best = hits.groupBy("id", "rank").agg(F.count_distinct("opportunity").alias("n"), F.min("opportunity").alias("opportunity"))
-    top = best.groupBy("id").agg(F.max(F.struct("rank", "n", "opportunity")).alias("t"))
-    r, n = F.col("t.rank"), F.col("t.n")
-    reason = F.when(r == 4, "already_member").when((r == 3) & (n == 1), "exact_requisition").when(r == 3, "ambiguous_requisition").when((r == 2) & (n == 1), "exact_content_interval").when(r == 2, "ambiguous_content").when(r == 1, "title_similarity_requires_review").otherwise("no_candidate")
-    action = F.when(reason.isin("already_member", "exact_requisition", "exact_content_interval"), "attach").when(reason == "no_candidate", "create").otherwise("review")
-    return listings.select("id").join(top, "id", "left").select("id", action.alias("action"), reason.alias("reason"), F.when(action == "attach", F.col("t.opportunity")).alias("opportunity"))
-
-
 # How much an origin of evidence weighs.
 ORIGINS = {"human_review": 5, "source_field": 4, "structured_data": 3, "deterministic_rule": 2, "model": 1}
 
@@ -106,10 +85,15 @@ def project_evidence(assertions: DataFrame, target: str = "target") -> DataFrame
 def merged_companies(companies: DataFrame, decisions: DataFrame) -> DataFrame:
     """``companies(id, status)``, ``decisions(source, canonical, operation, seq)`` -> ``id, canonical_id, status`` now, one hop deep.
 
-    The latest decision on a company holds: a merge makes it ``merged`` and points to the canonical company, a
-    split gives it back its own identity and the status it had before. Companies without decisions are their own.
+    ``status`` is what a company had before its decisions; decisions may carry a ``status`` that was given to it in between (operation ``review``). The latest merge or split holds: a merge makes it
+    ``merged`` and points to the canonical company, a split gives it back its own identity and the status that it had before that merge. Companies without decisions are their own.
     """
-    latest = decisions.groupBy(F.col("source").alias("id")).agg(F.max_by(F.struct("operation", "canonical"), "seq").alias("d"))
+    given = F.col("status") if "status" in decisions.columns else F.lit(None).cast("string")
+    log = decisions.select(F.col("source").alias("id"), "canonical", "operation", "seq", given.alias("_given"))
+    latest = log.where("operation in ('merge', 'split')").groupBy("id").agg(F.max_by(F.struct("operation", "canonical"), "seq").alias("d"), F.max(F.when(F.col("operation") == "merge", F.col("seq"))).alias("_merged_at"))
+    # what was given after a merge is given to a company that is not its own any more
+    before = log.where("operation = 'review'").join(latest.select("id", "_merged_at", F.col("d.operation").alias("_last")), "id", "left").where("_merged_at is null or seq < _merged_at or _last = 'split'")
+    status = before.groupBy("id").agg(F.max_by("_given", "seq").alias("_status"))
     merged = F.coalesce(F.col("d.operation") == "merge", F.lit(False))
-    out = companies.join(latest, "id", "left")
-    return out.select("id", F.when(merged, F.col("d.canonical")).otherwise(F.col("id")).alias("canonical_id"), F.when(merged, "merged").otherwise(F.col("status")).alias("status"))
+    out = companies.join(latest, "id", "left").join(status, "id", "left")
+    return out.select("id", F.when(merged, F.col("d.canonical")).otherwise(F.col("id")).alias("canonical_id"), F.when(merged, "merged").otherwise(F.coalesce("_status", "status")).alias("status"))

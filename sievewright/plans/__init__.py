@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from sievewright.plans import catalog, console, indexes, leasing, nested, scanning
+from sievewright.plans import catalog, console, indexes, leasing, matching, nested, scanning
 
-__all__ = ["catalog", "console", "indexes", "leasing", "nested", "scanning"]
+__all__ = ["catalog", "console", "indexes", "leasing", "matching", "nested", "scanning"]

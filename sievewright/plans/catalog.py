@@ -614,8 +614,8 @@ known AS (SELECT c_custkey AS company, 'verified_domain' AS kind, 'n' || c_natio
 hits AS (SELECT DISTINCT id, w, company FROM inc JOIN known USING (kind, value)), best AS (SELECT id, w, count(DISTINCT company) AS n, min(company) AS company FROM hits GROUP BY 1, 2),
 top AS (SELECT id, arg_max(n, w) AS n, arg_max(company, w) AS company, max(w) AS w FROM best GROUP BY id), tot AS (SELECT id, count(DISTINCT company) AS companies FROM hits GROUP BY id),
 r AS (SELECT DISTINCT inc.id, top.company, CASE WHEN n > 1 THEN 'ambiguous_' || CASE top.w WHEN 3 THEN 'verified_domain' ELSE 'ats_tenant' END WHEN companies > 1 THEN 'conflicting_exact_evidence'
-  WHEN n IS NOT NULL THEN 'exact_' || CASE top.w WHEN 3 THEN 'verified_domain' ELSE 'ats_tenant' END ELSE 'unclaimed_exact_key' END AS reason FROM inc LEFT JOIN top ON top.id = inc.id LEFT JOIN tot ON tot.id = inc.id)
-SELECT id, CASE WHEN reason LIKE 'exact_%' THEN 'match' WHEN reason = 'unclaimed_exact_key' THEN 'create' ELSE 'review' END AS action, reason, CASE WHEN reason LIKE 'exact_%' THEN company END AS company FROM r
+  WHEN n IS NOT NULL THEN 'exact_' || CASE top.w WHEN 3 THEN 'verified_domain' ELSE 'ats_tenant' END ELSE 'unclaimed_exact_identity' END AS reason FROM inc LEFT JOIN top ON top.id = inc.id LEFT JOIN tot ON tot.id = inc.id)
+SELECT id, CASE WHEN reason LIKE 'exact_%' THEN 'match' WHEN reason = 'unclaimed_exact_identity' THEN 'create' ELSE 'review' END AS action, reason, CASE WHEN reason LIKE 'exact_%' THEN company END AS company FROM r
 """)
 def company_resolution(spark, d):
     keys = lambda df, i, n: df.select(F.col(i).alias("id"), F.explode(F.array(F.struct(F.lit("verified_domain").alias("kind"), F.concat(F.lit("n"), n, F.lit(".example")).alias("value")), F.struct(F.lit("ats_tenant").alias("kind"), F.concat(F.lit("x:global:"), F.col(i) % 50).alias("value")))).alias("k")).select("id", "k.*")
@@ -623,13 +623,6 @@ def company_resolution(spark, d):
     return resolve.resolve_companies(keys(t(spark, d, "supplier"), "s_suppkey", "s_nationkey"), known)
 
 
-@query()
-def opportunity_resolution(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company"), (F.col("o_orderkey") % 11).cast("string").alias("requisition"), text.word_set(F.col("o_orderpriority")).alias("title_set"), F.col("o_orderstatus").alias("content"), F.lit("x").alias("location"), F.col("o_orderdate").cast("timestamp").alias("start"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 30 days")).alias("until"))
-    members = o.where("id % 2 = 0").withColumn("opportunity", F.col("id"))
-    return resolve.resolve_opportunities(o.where("id % 2 = 1"), members)
-
-
 @query("""
 WITH a AS (SELECT l_orderkey AS target, CASE WHEN l_linenumber % 2 = 0 THEN '/ship' ELSE '/price' END AS path, l_extendedprice::DECIMAL(12,2)::VARCHAR AS value, 1 - l_discount AS confidence,
   CASE WHEN l_returnflag = 'R' THEN false WHEN l_returnflag = 'A' THEN true END AS accepted, CASE l_linestatus WHEN 'O' THEN 4 ELSE 2 END AS w, l_suppkey AS listing, l_partkey * 10 + l_linenumber AS id FROM lineitem),

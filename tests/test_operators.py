@@ -85,7 +85,7 @@ def test_company_cascade(spark):
         11: ("match", "exact_ats_tenant", 2),
         12: ("review", "conflicting_exact_evidence", None),
         13: ("review", "ambiguous_verified_domain", None),
-        14: ("create", "unclaimed_exact_key", None),
+        14: ("create", "unclaimed_exact_identity", None),
         15: ("review", "insufficient_exact_evidence", None),
         16: ("review", "name_similarity_requires_review", None),
     }
