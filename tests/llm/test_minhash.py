@@ -96,3 +96,17 @@ def test_blocks_of_crowded_groups(spark):
         held.setdefault(p.node, set()).add((p.lo, p.hi))
     nodes = sorted(held)[::97]
     assert all(held[a] & held[b] for a in nodes for b in nodes)
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components_of_random_graphs(spark, monkeypatch, small):
+    from sievewright.llm import components as connected
+
+    monkeypatch.setattr(connected, "SMALL", small)
+    rng = random.Random(small)
+    for nodes, edges in ((1, 0), (40, 25), (60, 200), (300, 290)):
+        pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)] + [(nodes + 5, nodes + 5)]
+        got = {r.node: r.root for r in connected.connected_components(spark.createDataFrame([*pairs, (None, 1)], "a long, b long").where("a is not null")).collect()}
+        root = components(nodes + 6, pairs)
+        touched = {x for a, b in pairs if a != b for x in (a, b)}
+        assert set(got) == touched and all(got[x] == min(y for y in touched if root[y] == root[x]) for x in touched)
