@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.scratch import bounded_sample, crc_part, materialize
+from sievewright.llm.scratch import bounded_sample, crc_part, materialize, small_or_joined
 from sievewright.llm.texts import U, mix, slices
 
 ORDER = 4
@@ -244,6 +244,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     known = docs.select("doc_id", "text", "lang").where((crc_part(folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # languages with few rows are counted whole
     many = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("_many"))
+    many = small_or_joined(materialize(many))  # a row a language: texts stay where they are
     tested = F.col("_many").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATED)) == 0)
     split = known.join(many, F.col("lang") == F.col("_many"), "left").withColumn("_tested", tested)
     model = train(split.where("not _tested"))
