@@ -47,9 +47,25 @@ def breaker(previous: Column, observed: Column, active: Column) -> Column:
 
 
 def escalated(trips: DataFrame, group: str, source: str, at: str, seconds: int = 900, least: int = 3) -> DataFrame:
-    """Trips with the number of distinct sources of their group that tripped within ``seconds`` up to them, and whether the group trips."""
-    window = W.partitionBy(group).orderBy(F.unix_timestamp(at)).rangeBetween(-seconds, 0)
-    return trips.withColumn("sources", F.size(F.collect_set(source).over(window))).withColumn("escalates", F.col("sources") >= least)
+    """Trips with the number of distinct sources of their group that tripped within ``seconds`` up to them, and whether the group trips.
+
+    A source counts by its last trip in that time: its trip counts for the seconds until its next one, or until the time is over. So each source's trips are spans
+    that do not meet, and a trip's number is that of the spans that hold it: spans begun up to it less spans ended before it. Both are running sums over the group's seconds, which are combined
+    before they are summed, in blocks of time.
+    """
+    second = F.unix_timestamp(at).cast("long")
+    rows = trips.withColumn("_s", second)
+    own = W.partitionBy(group, source).orderBy("_s")
+    spans = rows.select(group, source, "_s").distinct().withColumn("_next", F.lead("_s").over(own))
+    over = F.least(F.col("_s") + seconds + 1, F.coalesce("_next", F.col("_s") + seconds + 1))
+    steps = spans.select(group, F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(1).alias("n")), F.struct(over.alias("t"), F.lit(-1).alias("n")))).alias("x")).groupBy(group, F.col("x.t").alias("_t")).agg(F.sum("x.n").alias("_n"))
+    steps = steps.withColumn("_block", F.floor(F.col("_t") / 86_400))
+    totals = steps.groupBy(group, "_block").agg(F.sum("_n").alias("_sum"))
+    before = totals.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), (F.sum("_sum").over(W.partitionBy(group).orderBy("_block")) - F.col("_sum")).alias("_before"))
+    within = steps.withColumn("_run", F.sum("_n").over(W.partitionBy(group, "_block").orderBy("_t")))
+    counted = within.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b"))).select(F.col(group).alias("_g"), F.col("_t"), (F.col("_run") + F.col("_before")).cast("int").alias("sources"))
+    out = rows.join(counted, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t"))).drop("_s", "_g", "_t")
+    return out.withColumn("escalates", F.col("sources") >= least)
 
 
 def versions(log: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -257,7 +257,7 @@ def scalar_subquery_metrics(spark, d):
 
 @query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS board_hash FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def board_hash(spark, d):
-    return t(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")).groupBy("source").agg(digests.set_hash(F.collect_list("h")).alias("board_hash"))
+    return relational.ordered_hash(t(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")), "source", "h", "board_hash")
 
 
 @query("SELECT user_id, least(1.0::DOUBLE, count(DISTINCT event_type) / 6.0::DOUBLE) AS coverage FROM events GROUP BY user_id")
@@ -549,7 +549,10 @@ def url_canonical(spark, d):
     return t(spark, d, "pages").withColumn("given", given).select("page_id", c.alias("canonical"), F.when(c.isNull(), "normalized_url_invalid").alias("error"), urls.origin(F.col("given")).alias("origin"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS n FROM supplier)
+SELECT s_suppkey, CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' END AS vendor, CASE WHEN k < 3 THEN n END AS tenant, CASE k WHEN 1 THEN 'eu' END AS region, CASE k WHEN 1 THEN 100 WHEN 3 THEN NULL ELSE 1 END::INTEGER AS requests FROM s
+""")
 def url_vendor_plan(spark, d):
     base = t(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(F.lit("https://boards.greenhouse.io/"), F.lit("https://jobs.eu.lever.co/"), F.lit("https://jobs.ashbyhq.com/"), F.lit("https://example.com/")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("p"), F.regexp_replace(F.lower("s_name"), "[^a-z0-9]", "").alias("n"))
     found = base.withColumn("v", urls.vendor(F.concat("p", "n")))
@@ -599,7 +602,14 @@ def json_scan_completeness(spark, d):
     return boards.greenhouse(body).select("board", F.size("listings").cast("long").alias("listings"), "reason")
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS id, p_name, p_brand, p_type FROM part)
+SELECT id AS source_job_id, u.path, u.value, u.origin, 1.0::DOUBLE AS confidence FROM p, LATERAL (SELECT unnest([
+  {'path': '/displayTitle', 'value': p_name, 'origin': 'source_field'}, {'path': '/normalizedTitle', 'value': trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 'origin': 'deterministic_rule'},
+  {'path': '/descriptionText', 'value': p_type, 'origin': 'deterministic_rule'}, {'path': '/locations', 'value': '["Remote - ' || p_brand || '","' || p_brand || '"]', 'origin': 'deterministic_rule'},
+  {'path': '/workplaceType', 'value': 'remote', 'origin': 'deterministic_rule'}, {'path': '/employmentType', 'value': regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), 'origin': 'deterministic_rule'},
+  {'path': '/canonicalSourceUrl', 'value': 'https://jobs.example.com/p/' || id || '?a=1&b=2', 'origin': 'deterministic_rule'}]) AS u)
+""")
 def normalized_listings(spark, d):
     parts = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source_job_id"), F.col("p_name").alias("title"), F.concat(F.lit("Remote - "), "p_brand", F.lit("; "), "p_brand").alias("location"), F.concat(F.lit("https://Jobs.Example.com//p/"), "p_partkey", F.lit("/?utm_source=x&b=2&a=1#top")).alias("url"), F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("description_html"), F.col("p_type").alias("employment"), F.lit(None).cast("string").alias("workplace_explicit"), F.col("p_brand").alias("artifact"))
     return boards.assertions(boards.normalize(parts)).select("source_job_id", "path", "value", "origin", "confidence")
@@ -724,7 +734,15 @@ def stream_daily_counts(spark, d):
     return closed.select(stamp("start").alias("start"), "event_type", "events")
 
 
-@query()
+@query("""
+WITH s AS (SELECT user_id, ts, event_id, event_type <> 'error' AS seen FROM events),
+isl AS (SELECT *, sum(seen::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s),
+num AS (SELECT *, row_number() OVER run - 1 AS n, epoch_us(ts) - min(CASE WHEN NOT seen THEN epoch_us(ts) END) OVER run AS since FROM isl WHERE island > 0 WINDOW run AS (PARTITION BY user_id, island ORDER BY ts, event_id)),
+mark AS (SELECT *, NOT seen AND n >= 2 AND since >= 1800000000 AS closing FROM num),
+st AS (SELECT CASE WHEN seen THEN 'active' WHEN bool_or(closing) OVER run THEN 'closed' ELSE 'possibly_closed' END AS status, CASE WHEN seen THEN 0 ELSE least(n, coalesce(min(CASE WHEN closing THEN n END) OVER run, n)) END AS misses
+  FROM mark WINDOW run AS (PARTITION BY user_id, island ORDER BY ts, event_id))
+SELECT status, count(*)::BIGINT AS states, max(misses)::INTEGER AS misses FROM st GROUP BY status
+""")
 def stream_lifecycle(spark, d):
     e = twins.read_events(spark, d)
     scans = e.select(F.col("user_id").alias("listing"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("seen"))

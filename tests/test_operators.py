@@ -151,3 +151,47 @@ def test_retention_claim(spark):
     df = df.select("id", "state", F.col("due").cast("timestamp").alias("deletion_due_at"), F.col("due").cast("timestamp").alias("created_at"), F.col("started").cast("timestamp").alias("deletion_started_at"))
     assert [r["id"] for r in queueing.retention_claim(df, day, 10).orderBy("deletion_due_at").collect()] == [5, 3, 1]
     assert [r["id"] for r in queueing.retention_claim(df, day, 1).collect()] == [5]
+
+
+def test_overlaps_are_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    hour = timedelta(hours=1)
+
+    def made(n):
+        rows = []
+        for k in range(n):
+            start = T0 + rng.randrange(-3000, 3000) * hour / 2
+            until = rng.choice([None, start, start + rng.randrange(20) * hour / 3, start + rng.randrange(30_000) * hour / 7, start - hour, datetime(2500, 1, 1)])
+            rows.append((rng.choice("xy"), k, start, until))
+        return rows
+
+    left, right = made(90), made(80) + [("x", 900, datetime(1950, 1, 1), None), ("y", 901, datetime(1960, 5, 1), datetime(1980, 1, 1))]
+    frame = lambda rows: spark.createDataFrame(rows, "k string, id int, start timestamp, until timestamp")
+    end = datetime(9999, 12, 31)
+    meets = lambda a, b: a[0] == b[0] and a[2] <= (a[3] or end) and b[2] <= (b[3] or end) and a[2] <= (b[3] or end) and b[2] <= (a[3] or end)
+    want = sorted((a[1], b[1]) for a in left for b in right if meets(a, b))
+    for short in (1000, 5):
+        assert sorted((r.id, r.id_r) for r in relational.overlap_join(frame(left), frame(right), ["k"], short=short).collect()) == want
+
+
+def test_escalation_counts_sources(spark):
+    import random
+
+    rng = random.Random(2)
+    trips = [(k, rng.choice(["a", "b", None]), rng.randrange(6), T0 + timedelta(seconds=rng.choice([rng.randrange(200_000), 86_390 + rng.randrange(20), 400 * rng.randrange(9)]))) for k in range(300)]
+    got = lifecycle.escalated(spark.createDataFrame(trips, "id int, g string, s int, at timestamp"), "g", "s", "at").collect()
+    want = {k: len({s for _, h, s, u in trips if h == g and 0 <= (t - u).total_seconds() <= 900}) for k, g, _, t in trips}
+    assert {r.id: r.sources for r in got} == want and all(r.escalates == (r.sources >= 3) for r in got) and len(got) == 300
+
+
+def test_ordered_hash(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "", None]), hashlib.sha256(b"%d" % rng.randrange(50)).hexdigest()) for _ in range(300)] + [("n", None), ("a", None)]
+    got = {r.k: r.h for r in relational.ordered_hash(spark.createDataFrame(rows, "k string, v string"), "k", "v", "h").collect()}
+    want = {k: hashlib.sha256("\n".join(sorted(v for j, v in rows if j == k and v)).encode()).hexdigest() for k in {k for k, _ in rows}}
+    assert got == want and relational.ordered_hash(spark.createDataFrame([], "k string, v string"), "k", "v", "h").collect() == []
