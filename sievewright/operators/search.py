@@ -152,3 +152,114 @@ def page_of(rows: list, filters: Filters) -> tuple[list, str | None]:
     last = rows[filters.limit - 1]
     primary = last["sort_value"]
     return rows[: filters.limit], encode_cursor("items", asdict(filters), primary if isinstance(primary, (int, float, str)) else str(primary), last["id"])
+
+
+# The parameters of a search, and what some of them may be.
+PARAMETERS = (
+    "q", "company_id", "title", "country", "region", "workplace_mode", "eligible_country", "employment_type", "seniority", "skill", "language", "visa", "min_compensation",
+    "currency", "compensation_period", "first_seen_after", "source_posted_after", "status", "sort", "cursor", "limit",
+)
+MODES, PAY_PERIODS = ("remote", "hybrid", "onsite", "unspecified"), ("hour", "day", "week", "month", "year")
+_LONGEST = {"q": 200, "title": 200, "region": 120, "employment_type": 80, "seniority": 80, "skill": 100, "language": 40, "cursor": 2_048}
+_ID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+
+
+def parse_parameters(query: str) -> tuple[Filters, dict]:
+    """A URL's query string -> filters, and the facets that it asks for by name; ``ValueError`` with a code for what is not allowed.
+
+    Values are trimmed, empty ones count as not given; a parameter comes once; countries and currencies are upper-cased, times are ISO.
+    """
+    import re
+    from datetime import UTC, datetime
+    from urllib.parse import parse_qsl
+
+    given: dict[str, str] = {}
+    for name, value in parse_qsl(query, keep_blank_values=True):
+        if name not in PARAMETERS:
+            raise ValueError("unknown_query_parameter")
+        if name in given:
+            raise ValueError("duplicate_query_parameter")
+        given[name] = value.strip()
+    found = {name: value for name, value in given.items() if value}
+
+    def checked(name: str, right) -> str | None:
+        value = found.get(name)
+        if value is not None and not right(value):
+            raise ValueError("invalid_query")
+        return value
+
+    def moment(name: str) -> str | None:
+        value = found.get(name)
+        if value is None:
+            return None
+        try:
+            at = datetime.fromisoformat(value)
+        except ValueError:
+            raise ValueError("invalid_query") from None
+        return (at.astimezone(UTC) if at.tzinfo else at).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    def number(name: str) -> float | None:
+        value = checked(name, lambda x: re.fullmatch(r"\d+(\.\d+)?", x))
+        if value is not None and float(value) > 1_000_000_000:
+            raise ValueError("invalid_query")
+        return None if value is None else float(value)
+
+    for name, most in _LONGEST.items():
+        if len(found.get(name, "")) > most:
+            raise ValueError("invalid_cursor" if name == "cursor" else "invalid_query")
+    for name in ("country", "eligible_country", "currency"):
+        if name in found:
+            found[name] = found[name].upper()
+            checked(name, re.compile("[A-Z]{3}" if name == "currency" else "[A-Z]{2}").fullmatch)
+    limit = found.get("limit", "25")
+    if not re.fullmatch(r"\d{1,9}", limit):
+        raise ValueError("invalid_page_size")
+    equal = {"workplace_mode": checked("workplace_mode", MODES.__contains__), "employment_type": found.get("employment_type"), "seniority": found.get("seniority")}
+    visa = checked("visa", ("true", "false").__contains__)
+    facets = {name: found[name] for name in ("country", "eligible_country", "region", "skill", "language") if name in found}
+    if visa:
+        facets["visa"] = visa
+    filters = Filters(
+        q=found.get("q"), company=checked("company_id", lambda x: re.fullmatch(_ID, x)), title=found.get("title"), equal={k: v for k, v in equal.items() if v}, seen_after=moment("first_seen_after"), posted_after=moment("source_posted_after"),
+        least_compensation=number("min_compensation"), currency=found.get("currency"), period=checked("compensation_period", PAY_PERIODS.__contains__), status=found.get("status", "active"), sort=found.get("sort", "first_seen_desc"), limit=int(limit), cursor=found.get("cursor"),
+    )
+    return filters, facets
+
+
+def facet_tables(wanted: dict, locations: DataFrame, skills: DataFrame, languages: DataFrame, assertions: DataFrame) -> dict[str, DataFrame]:
+    """Facets by name -> the ids that have them, for :func:`search`: ``locations(id, country, region, remote_eligible)``, ``skills(id, skill)``, ``languages(id, language)``, ``assertions(id, path, value)``.
+
+    Regions, skills and languages are compared whatever their case; a country must be eligible for remote work where that is asked; ``visa`` is an assertion's JSON value.
+    """
+    folded = lambda column, value: F.lower(column) == value.lower()
+    rules = {
+        "country": lambda v: locations.where(F.col("country") == v),
+        "eligible_country": lambda v: locations.where(F.col("remote_eligible") & (F.col("country") == v)),
+        "region": lambda v: locations.where(folded(F.col("region"), v)),
+        "skill": lambda v: skills.where(folded(F.col("skill"), v)),
+        "language": lambda v: languages.where(folded(F.col("language"), v)),
+        "visa": lambda v: assertions.where((F.col("path") == "/visa_sponsorship") & (F.col("value") == v)),
+    }
+    return {name: rules[name](value).select("id") for name, value in wanted.items()}
+
+
+def detail_documents(items: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Items with a ``record`` each: a JSON document of their own columns and of lists of their children, empty where they have none.
+
+    ``children`` names tables with an ``id`` column and the columns that sort them; their other columns make up the entries. Each table is grouped once and joined, whatever the number of items;
+    an item's children are few.
+    """
+    out, names = items, [c for c in items.columns if c != "id"]
+    for name, (table, order) in children.items():
+        values = [c for c in table.columns if c != "id"]
+        rest = [c for c in values if c not in order]
+        out = out.join(table.groupBy("id").agg(_entries(F.struct(*order, *rest), values).alias(f"_{name}")), "id", "left")
+        kind = table.select(F.array(F.struct(*values)).alias("x")).schema["x"].dataType
+        out = out.withColumn(f"_{name}", F.coalesce(f"_{name}", F.from_json(F.lit("[]"), kind)))
+    record = F.to_json(F.struct("id", *names, *[F.col(f"_{name}").alias(name) for name in children]), {"ignoreNullFields": "false"})
+    return out.select("id", record.alias("record"))
+
+
+def _entries(entry: Column, values: list[str]) -> Column:
+    """Collected entries in the order of their first fields, their fields as the table has them."""
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*[e[c].alias(c) for c in values]))

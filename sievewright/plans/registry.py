@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.operators import domains, pilot
+from sievewright.operators import domains, pilot, search
 from sievewright.plans.catalog import query, t
 from sievewright.sources import details
 
@@ -78,3 +78,16 @@ def listing_details(spark, d):
     told = details.evidence(out.where("error is null"))
     bad = out.where("error is not null").select("source_job_id", F.lit(None).cast("string").alias("path"), F.col("error").alias("value"), F.lit("error").alias("origin"), F.lit(None).cast("string").alias("pointer"))
     return told.select("source_job_id", "path", "value", "origin", "pointer").where("path not in ('/descriptionHtml')").unionByName(bad)
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS id, list({'key': o_orderkey, 'status': o_orderstatus, 'priority': o_orderpriority} ORDER BY o_orderpriority, o_orderkey) AS orders FROM orders GROUP BY 1),
+s AS (SELECT c_custkey AS id, list({'supplier': s_name} ORDER BY s_name) AS suppliers FROM customer JOIN supplier ON s_nationkey = c_nationkey AND c_acctbal < 0 GROUP BY 1)
+SELECT c_custkey AS id, to_json({'id': c_custkey, 'name': c_name, 'segment': c_mktsegment, 'orders': coalesce(orders, []), 'suppliers': coalesce(suppliers, [])})::VARCHAR AS record FROM customer LEFT JOIN o ON o.id = c_custkey LEFT JOIN s ON s.id = c_custkey
+""")
+def detail_documents(spark, d):
+    c = t(spark, d, "customer")
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    suppliers = c.where("c_acctbal < 0").join(t(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.col("s_name").alias("supplier"))
+    items = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return search.detail_documents(items, {"orders": (orders, ["priority", "key"]), "suppliers": (suppliers, ["supplier"])})
