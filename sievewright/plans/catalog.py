@@ -94,9 +94,8 @@ def facet_semi_join(spark, d):
 SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount >= 0.09)
 """)
 def facet_exists_or(spark, d):
-    t(spark, d, "orders").createOrReplaceTempView("facet_orders")
-    t(spark, d, "lineitem").createOrReplaceTempView("facet_lines")
-    return spark.sql("SELECT o_orderkey FROM facet_orders WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM facet_lines WHERE l_orderkey = o_orderkey AND l_discount >= 0.09)")
+    wanted = "SELECT o_orderkey FROM {orders} WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM {lines} WHERE l_orderkey = o_orderkey AND l_discount >= 0.09)"
+    return spark.sql(wanted, orders=t(spark, d, "orders"), lines=t(spark, d, "lineitem"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)")
@@ -329,7 +328,7 @@ def source_health(spark, d):
 
 
 @query("""
-WITH day AS (SELECT event_type, ts::DATE AS dt, count(*) AS n FROM events WHERE value > 90 GROUP BY 1, 2),
+WITH day AS (SELECT event_type, ts::DATE AS dt, count(*) AS n FROM events GROUP BY 1, 2),
 l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY dt) AS p, 12 AS active FROM day)
 SELECT event_type, dt::VARCHAR AS day, n::BIGINT AS observed, CASE
   WHEN greatest(coalesce(p, 0), active) >= 10 AND n = 0 THEN 'suspicious_empty'
@@ -337,7 +336,7 @@ SELECT event_type, dt::VARCHAR AS day, n::BIGINT AS observed, CASE
   WHEN greatest(0, active - n) >= 50 AND 2 * greatest(0, active - n) >= active THEN 'closure_spike' END AS reason FROM l
 """)
 def count_collapse_breaker(spark, d):
-    day = t(spark, d, "events").where("value > 90").groupBy("event_type", F.col("ts").cast("date").alias("dt")).agg(F.count("*").alias("n"))
+    day = t(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("dt")).agg(F.count("*").alias("n"))
     p = F.lag("n").over(W.partitionBy("event_type").orderBy("dt"))
     return day.withColumn("p", p).select("event_type", F.col("dt").cast("string").alias("day"), F.col("n").alias("observed"), lifecycle.breaker(F.col("p"), F.col("n"), F.lit(12)).alias("reason"))
 
@@ -374,13 +373,13 @@ def scan_counters(spark, d):
 
 
 @query("""
-WITH o AS (SELECT user_id, max(event_id) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT user_id, max(event_id) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND value > 80 GROUP BY 1)
+WITH o AS (SELECT user_id, max(event_id) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT user_id, max(event_id) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
 SELECT user_id, CASE WHEN n.v IS NOT NULL AND (o.v IS NULL OR n.v > o.v) THEN n.v ELSE o.v END AS event_id FROM o FULL JOIN n USING (user_id)
 """)
 def upsert_latest(spark, d):
     events, cut = t(spark, d, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
     old = events.where(F.col("ts") < cut).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    new = events.where((F.col("ts") >= cut) & (F.col("value") > 80)).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    new = events.where(F.col("ts") >= cut).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     return relational.upsert(old, new, ["user_id"], F.col("new_event_id") > F.col("old_event_id"))
 
 
@@ -498,8 +497,7 @@ def title_normalize_ascii(spark, d):
 
 @query()
 def title_normalize_unicode(spark, d):
-    line = F.substring_index("text", "\n", 1)
-    return t(spark, d, "documents").select("doc_id", text.search_title(line).alias("title"), text.company_name(line).alias("name"))
+    return t(spark, d, "documents").select("doc_id", text.search_title(F.col("text")).alias("title"), text.company_name(F.col("text")).alias("name"))
 
 
 @query("""
@@ -514,13 +512,13 @@ def company_name_dice(spark, d):
 
 
 @query("""
-WITH l AS (SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+') if x <> '']) AS s FROM documents)
+WITH l AS (SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> '']) AS s FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 4) AS score
 FROM l a JOIN l b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.s) > 0 AND len(b.s) > 0
 WHERE round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 4) >= 0.6
 """)
 def title_jaccard(spark, d):
-    titles = t(spark, d, "documents").select("doc_id", "lang", text.word_set(F.substring_index("text", "\n", 1)).alias("s"))
+    titles = t(spark, d, "documents").select("doc_id", "lang", text.word_set(F.col("text")).alias("s"))
     return resolve.similar_pairs(titles, "doc_id", "s", resolve.TITLE_REVIEW, "jaccard", ["lang"])
 
 
@@ -588,9 +586,11 @@ def json_extract_explode(spark, d):
     return t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).where("k is not null")
 
 
-@query("SELECT doc_id, sha256('{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') AS fingerprint FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL")
+@query("""
+SELECT doc_id, sha256('{' || concat_ws(',', '"lang":"' || lang || '"', '"n_chars":' || n_chars, '"source":"' || source || '"') || '}') AS fingerprint FROM documents
+""")
 def semantic_fingerprint(spark, d):
-    return t(spark, d, "documents").where("lang is not null and source is not null and n_chars is not null").select("doc_id", digests.fingerprint(F.col("lang"), F.col("n_chars"), F.col("source")).alias("fingerprint"))
+    return t(spark, d, "documents").select("doc_id", digests.fingerprint(F.col("lang"), F.col("n_chars"), F.col("source")).alias("fingerprint"))
 
 
 @query("""
