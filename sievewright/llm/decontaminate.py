@@ -16,6 +16,8 @@ from sievewright.llm.texts import U, mix, raw_bytes, slices, word_hashes, word_s
 WIDTH = 5
 #: Least share of an item's windows that a document holds, and least share of slots that are filled alike.
 COVERAGE, CONSISTENCY = 0.8, 0.8
+#: Least share of the document's fillers that stand for mostly one filler of the item's: a few may coincide.
+APART = 0.5
 #: Size of the bitmap of the benchmark's windows that tasks get: two mebibytes whatever the benchmark's size.
 BITMAP_BITS = 24
 #: Items' windows up to so many are broadcast; more are joined, each window dealt by so many salts.
@@ -168,7 +170,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     Numbers, names and units become typed placeholders; both sides' windows of five template tokens meet in a
     hash join, so that a re-parameterised question still matches. A document leaks an item if it holds at least
     ``coverage`` of the item's distinct windows, and if each filler of the item's slots stands for mostly one
-    filler of the document's: the share of slots so explained is ``consistency``, at least 0.8. Both are judged
+    filler of the document's: the share of slots so explained is ``consistency``, at least 0.8. The other way round half of the slots are enough, as fillers
+    may coincide; but a text with one number in all places is no copy of an item with many. All are judged
     for each occurrence of the item in the document (windows that begin it at one place, or near it) and for the
     document as a whole; one that passes is enough, and the best that passes is reported. As a name is told by its
     capital, an item is also read with its names as plain words, case folded, and the better reading counts.
@@ -222,9 +225,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     whole = spotted.groupBy(*key, "doc_id", "item_id", "item_windows").agg(F.count_distinct("window").alias("windows")).withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage - 1e-9)
     pairs = spotted.where(F.size("item_slots") > 0).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
     fillers = pairs.groupBy(*key, F.col("s.item_slots").alias("own"), F.col("s.doc_slots").alias("other")).agg(F.count("*").alias("n"))
-    best = fillers.groupBy(*key, "own").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    slots = best.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("share"))
-    judged = whole.join(slots, key, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= CONSISTENCY)
+    fillers = fillers.withColumn("both", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("filler")), F.struct(F.lit(1).alias("side"), F.col("other").alias("filler")))))
+    best = fillers.groupBy(*key, "both").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    explained = lambda side: F.sum(F.when(F.col("both.side") == side, F.col("most"))) / F.sum(F.when(F.col("both.side") == side, F.col("all")))
+    slots = best.groupBy(*key).agg(explained(0).alias("share"), explained(1).alias("back"))
+    judged = whole.join(slots, key, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0)))
+    judged = judged.where((F.col("consistency") >= CONSISTENCY) & (F.coalesce("back", F.lit(1.0)) >= APART))
     return judged.groupBy("doc_id", "item_id", "row_key", "item_key").agg(F.max(F.struct("coverage", "consistency", "windows")).alias("x")).select("doc_id", "item_id", "x.*", "row_key")
 
 

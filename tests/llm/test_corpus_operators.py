@@ -223,6 +223,15 @@ def test_leaks_of_one_template_twice(spark):
     assert got == {(d, i): 1.0 for d in (1, 2, 3) for i in (10, 11)}
 
 
+def test_fillers_are_told_apart_both_ways(spark):
+    """One number in the places of many is no re-parameterised question; a coincidence of two is."""
+    item = "A shop sold 12 apples on day 3 and 45 pears on day 6 and then 78 plums on day 9 before it closed"
+    fill = lambda *n: "A shop sold {} apples on day {} and {} pears on day {} and then {} plums on day {} before it closed".format(*n)
+    docs = [(1, fill(*[7] * 6)), (2, fill(5, 5, 61, 8, 90, 2)), (3, item), (4, fill(7, 7, 7, 7, 7, 8)), (5, fill(1, 2, 30, 4, 50, 6))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, item)], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {2, 3, 5}
+
+
 def test_leaks_in_other_case(spark):
     item = "In 2019 the trader Alice Brown sold 12 kg of sugar to every town along the river while Maria kept prices rising."
     docs = [(1, item.lower()), (2, "and so " + item.upper()), (3, "Before. " + item), (4, item.replace("Alice", "Lena").replace("Maria", "Ruth")), (5, item.lower().replace("alice brown", "a man"))]
