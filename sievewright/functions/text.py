@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -28,19 +29,36 @@ def _bounded(words: str) -> str:
     return f"(?iu)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])"
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+#: Texts that are Python objects at one time; the rest of a batch stays in Arrow.
+SLICE = 64
 
 
-@F.pandas_udf(StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def _normal(form: str, texts: pa.Array) -> pa.Array:
+    """Texts in a normal form, slice by slice: beside the batch and its result Python holds few texts."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    parts = [pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.slice(k, SLICE).to_pylist()], pa.string()) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    return _normal("NFKC", texts)
+
+
+@F.arrow_udf(StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
+    return _normal("NFKD", texts)
+
+
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    return _normal("NFC", texts)
+
+
+def composed(text: Column) -> Column:
+    """Compatibility form; ASCII text is that already and is not sent to Python."""
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
 
 
 def clean(text: Column, limit: int = 1_000_000, normal: bool = True) -> Column:
