@@ -137,6 +137,17 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and round(2 * len({*sets[a]} & {*sets[b]}) / (len(sets[a]) + len(sets[b])), 4) >= 0.65}
 
 
+def test_similar_pairs_of_copies_and_long_sets(spark):
+    base = [f"w{k}" for k in range(60)]
+    sets = {0: base, 1: base, 2: base[:50] + ["x"], 3: base[:30] + [f"y{k}" for k in range(30)], 4: base[:30] + [f"y{k}" for k in range(30)], 5: [f"z{k}" for k in range(60)]}
+    for rows in (sets, {k + 10 * n: [f"{e}{n}" if n else e for e in s] for n in range(4) for k, s in sets.items()}):
+        frame = spark.createDataFrame(list(rows.items()), "id int, s array<string>")
+        out = resolve.similar_pairs(frame, "id", "s", 0.6, "jaccard")
+        assert sorted((r.a, r.b) for r in out.collect()) == [(a, b) for a in rows for b in rows if a < b and len({*rows[a]} & {*rows[b]}) / len({*rows[a]} | {*rows[b]}) >= 0.6]
+    # copies are one class when sets meet
+    assert "c_a" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_retention_claim(spark):
     day = "1996-01-01 12:00:00"
     rows = [
