@@ -30,6 +30,35 @@ def keyset_page(df: DataFrame, sort: Column, identity: str, limit: int, after: t
     return df.orderBy(*order).limit(limit + 1)
 
 
+#: Parts of a crowded key: rows of one side are dealt over them, rows of the other come to each.
+SPREAD = 32
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, outer: bool = False) -> DataFrame:
+    """Rows of equal ``key`` (``outer``: all of ``many``), however few keys there are: a key's rows of ``many`` are dealt over parts by column ``by``, and its rows of ``few`` come to each part.
+
+    The number of partitions is given, so that what goes in, which may be little, does not decide how many tasks make what comes out.
+    """
+    parts = max(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD)
+    dealt = many.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).repartition(parts, key, "_part")
+    copied = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(parts, key, "_part")
+    return dealt.hint("merge").join(copied, [key, "_part"], "left" if outer else "inner").drop("_part")
+
+
+def either_join(left: DataFrame, right: DataFrame, every: DataFrame, ids: tuple[str, str], groups: tuple[str, str]) -> DataFrame:
+    """Distinct pairs of ids of ``left`` and ``right`` with equal groups, and of ``left`` and ``every`` with equal ids.
+
+    A pair is made once and not compared with others: sides have one row an id with its groups, a pair counts at the smallest group that it shares, and equal ids are added where no group has them.
+    """
+    (i, j), (g, h) = ids, groups
+    held = left.groupBy(i).agg(F.collect_set(g).alias("_l"))  # an id's groups are few
+    rich = right.groupBy(j).agg(F.collect_set(h).alias("_r"))
+    once = (F.size("_l") == 1) | (F.size("_r") == 1) | (F.col("_g") == F.array_min(F.array_intersect("_l", "_r")))
+    grouped = spread_join(rich.withColumn("_g", F.explode("_r")), held.withColumn("_g", F.explode("_l")), "_g", j).where(once).select(i, j)
+    same = held.join(every.select(j).distinct(), F.col(i) == F.col(j)).join(rich.withColumnRenamed(j, "_j"), F.col("_j") == F.col(j), "left")
+    return grouped.union(same.where(~F.coalesce(F.arrays_overlap("_l", "_r"), F.lit(False))).select(i, j))
+
+
 #: Levels of the tree of bins: more than any two bins of time may lie apart.
 _LEVELS = 29
 

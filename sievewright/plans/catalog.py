@@ -187,8 +187,7 @@ SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON (s_nationkey
 """)
 def disjunctive_union_join(spark, d):
     s, c = t(spark, d, "supplier"), t(spark, d, "customer")
-    by_nation = s.join(c.where("c_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey")
-    return by_nation.union(s.join(c, F.col("s_suppkey") == F.col("c_custkey")).select("s_suppkey", "c_custkey")).distinct()
+    return relational.either_join(s, c.where("c_acctbal > 9000"), c, ("s_suppkey", "c_custkey"), ("s_nationkey", "c_nationkey"))
 
 
 @query("""

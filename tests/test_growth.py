@@ -12,3 +12,13 @@ def test_normal_forms_by_slices(spark):
     assert text._normal("NFKC", pa.array(texts)).to_pylist() == [None, "", "fine", "R-1"] * 50
     df = spark.createDataFrame([(t,) for t in texts[:4]], "t string")
     assert [r[0] for r in df.select(text.composed(df.t)).collect()] == [None, "", "fine", "R-1"]
+
+
+def test_either_join_makes_a_pair_once(spark):
+    from sievewright.operators import relational
+
+    left, every = [(1, 1), (1, 2), (2, 1), (3, None), (4, 9)], [(1, 1), (1, 2), (5, 2), (5, 2), (3, 7), (4, 9), (6, None)]
+    right = [r for r in every if r[0] != 4]
+    frame = lambda rows, i, g: spark.createDataFrame(rows, f"{i} int, {g} int")
+    got = sorted(tuple(r) for r in relational.either_join(frame(left, "s", "g"), frame(right, "c", "h"), frame(every, "c", "h"), ("s", "c"), ("g", "h")).collect())
+    assert got == sorted({(s, c) for s, g in left for c, h in right if g == h and g is not None} | {(s, c) for s, _ in left for c, _ in every if s == c})
