@@ -179,7 +179,10 @@ SELECT x.event_type, x.user_id AS left_user, y.user_id AS right_user, strftime(x
 """)
 def interval_overlap_join(spark, d):
     spans = t(spark, d, "events").groupBy("user_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.min("ts").alias("start"), F.max("ts").alias("until")).drop("hour")
-    return relational.overlap_join(spans, spans, ["event_type"]).where("user_id < user_id_r").select("event_type", F.col("user_id").alias("left_user"), F.col("user_id_r").alias("right_user"), stamp("start").alias("began"))
+    spans = spans.withColumn("began", stamp("start"))
+    # few spans last longer than a minute: bins of minutes compare little but what meets
+    pairs = relational.overlap_join(spans, spans, ["event_type"], bin_seconds=60).where("user_id < user_id_r")
+    return pairs.select("event_type", F.col("user_id").alias("left_user"), F.col("user_id_r").alias("right_user"), "began")
 
 
 @query("""

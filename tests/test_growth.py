@@ -22,3 +22,10 @@ def test_either_join_makes_a_pair_once(spark):
     frame = lambda rows, i, g: spark.createDataFrame(rows, f"{i} int, {g} int")
     got = sorted(tuple(r) for r in relational.either_join(frame(left, "s", "g"), frame(right, "c", "h"), frame(every, "c", "h"), ("s", "c"), ("g", "h")).collect())
     assert got == sorted({(s, c) for s, g in left for c, h in right if g == h and g is not None} | {(s, c) for s, _ in left for c, _ in every if s == c})
+
+
+def test_spans_meet_by_minutes(spark, sf):
+    from sievewright.plans import catalog
+
+    plan = catalog.interval_overlap_join(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "cast(60 as double)" in plan and "cast(3600 as double)" not in plan
