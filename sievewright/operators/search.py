@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.digests import decode_cursor, encode_cursor
 from sievewright.functions.text import jaccard, like_escape, trigrams, words
+from sievewright.operators.relational import spread_join
 
 SORTS = ("first_seen_desc", "source_posted_desc", "relevance", "compensation_desc")
 STATUSES = ("active", "possibly_closed", "closed", "all")
@@ -243,17 +244,27 @@ def facet_tables(wanted: dict, locations: DataFrame, skills: DataFrame, language
     return {name: rules[name](value).select("id") for name, value in wanted.items()}
 
 
-def detail_documents(items: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+def detail_documents(items: DataFrame, children: dict[str, tuple], shared: dict[str, str] | None = None) -> DataFrame:
     """Items with a ``record`` each: a JSON document of their own columns and of lists of their children, empty where they have none.
 
     ``children`` names tables with an ``id`` column and the columns that sort them; their other columns make up the entries. Each table is grouped once and joined, whatever the number of items;
-    an item's children are few.
+    an item's children are few. ``shared`` names the children that many items have alike, with the column of ``items`` whose value is their ``id`` (null: none): such a list is made once for all its
+    items, whose records are then written by many tasks.
     """
-    out, names = items, [c for c in items.columns if c != "id"]
-    for name, (table, order) in children.items():
+    shared = shared or {}
+    out, names = items, [c for c in items.columns if c != "id" and c not in shared.values()]
+    for name in sorted(children, key=lambda n: n in shared):
+        table, order = children[name]
         values = [c for c in table.columns if c != "id"]
         rest = [c for c in values if c not in order]
-        out = out.join(table.groupBy("id").agg(_entries(F.struct(*order, *rest), values).alias(f"_{name}")), "id", "left")
+        lists = table.groupBy("id").agg(_entries(F.struct(*order, *rest), values).alias(f"_{name}"))
+        if name in shared:
+            key = shared[name]
+            with_list = spread_join(out.where(F.col(key).isNotNull()), lists.where("id is not null").withColumnRenamed("id", key), key, "id", outer=True)
+            kind = lists.schema[f"_{name}"].dataType
+            out = with_list.unionByName(out.where(F.col(key).isNull()).withColumn(f"_{name}", F.lit(None).cast(kind)))
+        else:
+            out = out.join(lists, "id", "left")
         kind = table.select(F.array(F.struct(*values)).alias("x")).schema["x"].dataType
         out = out.withColumn(f"_{name}", F.coalesce(f"_{name}", F.from_json(F.lit("[]"), kind)))
     record = F.to_json(F.struct("id", *names, *[F.col(f"_{name}").alias(name) for name in children]), {"ignoreNullFields": "false"})

@@ -88,6 +88,6 @@ SELECT c_custkey AS id, to_json({'id': c_custkey, 'name': c_name, 'segment': c_m
 def detail_documents(spark, d):
     c = t(spark, d, "customer")
     orders = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    suppliers = c.where("c_acctbal < 0").join(t(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.col("s_name").alias("supplier"))
-    items = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return search.detail_documents(items, {"orders": (orders, ["priority", "key"]), "suppliers": (suppliers, ["supplier"])})
+    suppliers = t(spark, d, "supplier").select(F.col("s_nationkey").alias("id"), F.col("s_name").alias("supplier"))
+    items = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") < 0, F.col("c_nationkey")).alias("near"))
+    return search.detail_documents(items, {"orders": (orders, ["priority", "key"]), "suppliers": (suppliers, ["supplier"])}, {"suppliers": "near"})

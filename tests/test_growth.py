@@ -29,3 +29,13 @@ def test_spans_meet_by_minutes(spark, sf):
 
     plan = catalog.interval_overlap_join(spark, sf)._jdf.queryExecution().analyzed().toString()
     assert "cast(60 as double)" in plan and "cast(3600 as double)" not in plan
+
+
+def test_lists_that_items_share_are_made_once(spark):
+    from sievewright.operators import search
+
+    items = spark.createDataFrame([(1, "n"), (2, "n"), (3, None), (4, "m")], "id int, near string")
+    places = spark.createDataFrame([("n", "y"), ("n", "x")], "id string, place string")
+    got = {r["id"]: r.record for r in search.detail_documents(items, {"places": (places, ["place"])}, {"places": "near"}).collect()}
+    some, none = '"places":[{"place":"x"},{"place":"y"}]}', '"places":[]}'
+    assert got == {1: '{"id":1,' + some, 2: '{"id":2,' + some, 3: '{"id":3,' + none, 4: '{"id":4,' + none}
