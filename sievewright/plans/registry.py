@@ -74,10 +74,8 @@ def listing_details(spark, d):
         )
     )
     answers = o.select(key.alias("source_job_id"), F.lit("acme").alias("tenant"), F.lit("global").alias("region"), url.alias("canonical_url"), url.alias("apply_url"), body.alias("body"))
-    out = details.greenhouse_details(answers)
-    told = details.evidence(out.where("error is null"))
-    bad = out.where("error is not null").select("source_job_id", F.lit(None).cast("string").alias("path"), F.col("error").alias("value"), F.lit("error").alias("origin"), F.lit(None).cast("string").alias("pointer"))
-    return told.select("source_job_id", "path", "value", "origin", "pointer").where("path not in ('/descriptionHtml')").unionByName(bad)
+    told = details.evidence_or_error(details.greenhouse_details(answers))
+    return told.where("path is null or path <> '/descriptionHtml'").select("source_job_id", "path", "value", "origin", "pointer")
 
 
 @query("""

@@ -23,9 +23,9 @@ PAY = "struct<raw:string,minimum:double,maximum:double,currency:string,period:st
 
 
 @F.pandas_udf(StringType())
-def unfolded(contents: pd.Series) -> pd.Series:
-    """Two layers of character references taken off."""
-    return contents.map(lambda c: None if c is None else html.unescape(html.unescape(c)))
+def unfolded_text(contents: pd.Series) -> pd.Series:
+    """Visible text below two layers of character references, in one pass."""
+    return contents.map(lambda c: None if c is None else text.visible(html.unescape(html.unescape(c))))
 
 
 def _field(path: str, value: Column, origin: str, pointer: Column | str) -> Column:
@@ -53,7 +53,7 @@ def greenhouse_details(answers: DataFrame) -> DataFrame:
 
     Errors: ``greenhouse_schema_invalid`` for bodies of another form or without visible text, ``greenhouse_identity_mismatch`` where the posting is another one, or hosted on another tenant's board.
     """
-    rows = answers.withColumn("j", F.from_json("body", GREENHOUSE_DETAIL)).withColumn("_html", unfolded(F.col("j.content"))).withColumn("_text", text.html_to_text(F.col("_html")))
+    rows = answers.withColumn("j", F.from_json("body", GREENHOUSE_DETAIL)).withColumn("_text", unfolded_text(F.col("j.content")))
     j = F.col("j")
     hosted = urls.vendor(j["absolute_url"])
     complete = j["id"].isNotNull() & j["title"].between("\x01", "\U0010ffff") & (F.length(j["title"]) <= 500) & j["location"]["name"].isNotNull() & j["absolute_url"].isNotNull() & j["content"].isNotNull()
@@ -154,3 +154,10 @@ def evidence(parsed: DataFrame) -> DataFrame:
     """A row per field with its evidence: ``source_job_id, path, value, origin, pointer, confidence``: what a source says outright counts 1, what a rule made of it 0.99."""
     told = parsed.where("error is null").select("source_job_id", F.explode("fields").alias("f")).select("source_job_id", "f.*")
     return told.withColumn("confidence", F.when(F.col("origin") == FIELD, 1.0).otherwise(0.99))
+
+
+def evidence_or_error(parsed: DataFrame) -> DataFrame:
+    """``source_job_id, path, value, origin, pointer``: a row per field, and one of a refused posting with its error as the value; postings are parsed once for both."""
+    none = F.lit(None).cast("string")
+    refused = F.array(F.struct(none.alias("path"), F.col("error").alias("value"), F.lit("error").alias("origin"), none.alias("pointer")))
+    return parsed.select("source_job_id", F.explode(F.when(F.col("error").isNull(), F.col("fields")).otherwise(refused)).alias("f")).select("source_job_id", "f.*")

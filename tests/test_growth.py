@@ -39,3 +39,10 @@ def test_lists_that_items_share_are_made_once(spark):
     got = {r["id"]: r.record for r in search.detail_documents(items, {"places": (places, ["place"])}, {"places": "near"}).collect()}
     some, none = '"places":[{"place":"x"},{"place":"y"}]}', '"places":[]}'
     assert got == {1: '{"id":1,' + some, 2: '{"id":2,' + some, 3: '{"id":3,' + none, 4: '{"id":4,' + none}
+
+
+def test_postings_are_parsed_once(spark, sf):
+    from sievewright.plans import registry
+
+    plan = registry.listing_details(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unfolded") == plan.count("ArrowEvalPython") == 1
