@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import trigrams, words
 from sievewright.operators.search import FUZZY, parse_web_query
 
-#: Hash partitions of the index; ids spread over so many tasks when a partition is written, for terms that most texts hold.
-BUCKETS, SALTS = 64, 8
+#: Hash partitions of the index; words whose places are sorted at one time.
+BUCKETS, AT_ONCE = 64, 1 << 20
 #: Fixed values of the rank: weight of a plain word, positions of a word that count, the last position, the sum of all 1/n^2, and distances.
 WEIGHT, MOST_POSITIONS, LAST_POSITION, ALL_SQUARES = 0.1, 256, 16_383, 1.64493406685
 FAR, NEAR_A, NEAR_B, NEAR_C = 100, 1.005, 0.05, 1.5
@@ -22,10 +25,36 @@ def _bucket(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, words`` -> ``id, term, positions``, some texts at a time: words are numbered, and sorted by text and number, so that a word's places stand together."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            part, first = batch.slice(first, last - first), last
+            lists = part.column("words")
+            terms = lists.flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            code = terms.indices.to_numpy(zero_copy_only=False)
+            key = text * len(terms.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            heads = order[starts]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text[heads])), terms.dictionary.take(pa.array(code[heads])), places], ["id", "term", "positions"])
+
+
 def postings(docs: DataFrame, identity: str, text: Column) -> DataFrame:
-    """``id, term, positions``: a row for each word of a text, its places counted from 1. No row is a whole term's list."""
-    placed = docs.select(F.col(identity).alias("id"), F.posexplode(words(text)).alias("at", "term"))
-    return placed.groupBy("id", "term").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    """``id, term, positions``: a row for each word of a text, its places counted from 1. No row is a whole term's list, and a text's rows are made where the text is."""
+    told = docs.select(F.col(identity).alias("id"), words(text).alias("words"))
+    kind = told.schema["id"].dataType.simpleString()
+    return told.mapInArrow(_placed, f"id {kind}, term string, positions array<int>")
 
 
 def gram_postings(docs: DataFrame, identity: str, name: Column) -> DataFrame:
@@ -35,9 +64,11 @@ def gram_postings(docs: DataFrame, identity: str, name: Column) -> DataFrame:
 
 
 def _store(df: DataFrame, term: str, path: str, mode: str) -> None:
-    """One folder per hash bucket, rows sorted by term: folders are chosen by the bucket, row groups by the term's range."""
-    dealt = df.withColumn("bucket", _bucket(F.col(term))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    dealt.sortWithinPartitions("bucket", term, "id").write.mode(mode).partitionBy("bucket").parquet(path)
+    """One folder per hash bucket, and in it a file of each task that read texts, its rows sorted by term: folders are chosen by the bucket, row groups by the term's range.
+
+    Rows stay where their texts are: nothing is shuffled, and a term that most texts hold is spread as the texts are.
+    """
+    df.withColumn("bucket", _bucket(F.col(term))).sortWithinPartitions("bucket", term, "id").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 class SearchIndex:

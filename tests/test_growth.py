@@ -46,3 +46,14 @@ def test_postings_are_parsed_once(spark, sf):
 
     plan = registry.listing_details(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unfolded") == plan.count("ArrowEvalPython") == 1
+
+
+def test_postings_stay_where_texts_are(spark):
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import index
+
+    texts = [(1, "a b a"), (2, None), (3, ""), (4, "B a c c c"), (5, "a")]
+    out = index.postings(spark.createDataFrame(texts, "id int, t string"), "id", F.col("t"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r.term, r.positions) for r in out.collect()) == [(1, "a", [1, 3]), (1, "b", [2]), (4, "a", [2]), (4, "b", [1]), (4, "c", [3, 4, 5]), (5, "a", [1])]
