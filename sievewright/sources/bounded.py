@@ -7,11 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+#: Bytes of documents that are measured together.
+AT_ONCE = 1 << 18
+
+
 @dataclass(frozen=True)
 class Limits:
     """Bounds of a document; the defaults are the usual ones, and none may pass the ceilings."""
@@ -28,13 +33,21 @@ class Limits:
 
 
 def measure(raw: bytes) -> tuple[int, int, int]:
-    """Depth, values and longest string (in UTF-16 units, keys included) of well-formed JSON, in passes over its bytes.
+    """Depth, values and longest string (in UTF-16 units, keys included) of well-formed JSON, in passes over its bytes."""
+    return tuple(int(found[0]) for found in _measure([raw]))
+
 
-    Depth is 0 for the outermost value. A container that is not empty holds one value more than commas; strings and escapes are told by runs of backslashes.
+def _measure(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The measures of many documents in the same passes: they stand in a row, each behind a blank.
+
+    Depth is 0 for the outermost value. A container that is not empty holds one value more than commas; strings and escapes are told by runs of backslashes. A well-formed document
+    ends outside of strings and containers; one that does not is measured by itself.
     """
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return 0, 0, 0
+    count = len(documents)
+    depth, nodes, longest = (np.zeros(count, np.int64) for _ in range(3))
+    data = np.frombuffer(b" " + b" ".join(documents) + b" ", np.uint8)
+    begin = np.cumsum([0, *(len(d) + 1 for d in documents)])
+    owner = np.repeat(np.arange(count + 1), [*(len(d) + 1 for d in documents), 1])
     at = np.arange(len(data))
     slash = data == 0x5C
     # a byte is escaped if the run of backslashes before it has an odd length
@@ -46,30 +59,45 @@ def measure(raw: bytes) -> tuple[int, int, int]:
     plain = ~inside & ~quote
     opens = plain & ((data == 0x7B) | (data == 0x5B))
     closes = plain & ((data == 0x7D) | (data == 0x5D))
+    level = np.cumsum(opens.astype(np.int64) - closes)
+    if count > 1 and (inside[begin].any() or level[begin].any()):
+        for k, d in enumerate(documents):
+            depth[k], nodes[k], longest[k] = (found[0] for found in _measure([d]))
+        return depth, nodes, longest
     solid = np.flatnonzero((data != 0x20) & (data != 0x09) & (data != 0x0A) & (data != 0x0D))
+    nodes[owner[solid]] = 1
     start = np.flatnonzero(opens)
-    follows = solid[np.minimum(np.searchsorted(solid, start, "right"), len(solid) - 1)]
-    filled = ~closes[follows]
-    level = np.cumsum(opens.astype(np.int64) - closes)
-    depth = max(int((level[start] - 1 + filled).max()) if len(start) else 0, 0)
-    nodes = 1 + int((plain & (data == 0x2C)).sum()) + int(filled.sum())
+    if len(start):
+        follows = solid[np.minimum(np.searchsorted(solid, start, "right"), len(solid) - 1)]
+        filled = ~closes[follows]
+        np.maximum.at(depth, owner[start], level[start] - 1 + filled)
+        nodes += np.bincount(owner[start], filled, count).astype(np.int64)[:count]
+    nodes += np.bincount(owner[plain & (data == 0x2C)], minlength=count)[:count]
     marks = np.flatnonzero(quote)
-    longest = 0
     if len(marks) >= 2:
         # units: bytes that begin a character, once more for four-byte ones, without what escapes take
         hold = inside & ~quote
         units = (hold & ((data & 0xC0) != 0x80)).astype(np.int64) + (hold & (data >= 0xF0)) - (hold & slash & ~escaped) - 4 * (hold & escaped & (data == 0x75))
         sums = np.r_[0, np.cumsum(units)]
-        longest = int((sums[marks[1::2]] - sums[marks[0 : 2 * (len(marks) // 2) : 2] + 1]).max())
+        first = marks[0 : 2 * (len(marks) // 2) : 2]
+        np.maximum.at(longest, owner[first], sums[marks[1::2]] - sums[first + 1])
     return depth, nodes, longest
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.struct([("depth", pa.int64()), ("nodes", pa.int64()), ("longest", pa.int64())])
     for batch in batches:
-        for k in range(batch.num_rows):  # one document at a time: its passes need some twenty times its size
-            raw = batch.column("_raw")[k].as_py()
-            found = pa.array([None if raw is None else dict(zip(("depth", "nodes", "longest"), measure(raw)))], pa.struct([("depth", pa.int64()), ("nodes", pa.int64()), ("longest", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in batch.schema.names if c != "_raw"), found], [*(c for c in batch.schema.names if c != "_raw"), "_found"])
+        raw = batch.column("_raw")
+        sizes = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < batch.num_rows:  # small documents together, a large one by itself: the passes need some twenty times their size
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+            part, first = batch.slice(first, last - first), last
+            texts = part.column("_raw")
+            found = [pa.array(f) for f in _measure([b"" if d is None else d for d in texts.to_pylist()])]
+            told = pa.StructArray.from_arrays(found, fields=list(kind), mask=pc.is_null(texts))
+            names = [c for c in part.schema.names if c != "_raw"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), told], [*names, "_found"])
 
 
 def bounded_json(documents: DataFrame, content: str, limits: Limits | None = None) -> DataFrame:

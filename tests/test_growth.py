@@ -57,3 +57,12 @@ def test_postings_stay_where_texts_are(spark):
     out = index.postings(spark.createDataFrame(texts, "id int, t string"), "id", F.col("t"))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["id"], r.term, r.positions) for r in out.collect()) == [(1, "a", [1, 3]), (1, "b", [2]), (4, "a", [2]), (4, "b", [1]), (4, "c", [3, 4, 5]), (5, "a", [1])]
+
+
+def test_documents_are_measured_together():
+    from sievewright.sources import bounded
+
+    good = [b'{"a":[1,{"b\\\\":"c\\"d"}]}', b"[]", b"1", b'"\xf0\x9f\x98\x80x"', b'{"k":{}}', b"", b' [1, 2 ] ']
+    for documents in (good, [*good, b'["', *good], [b"[", *good]):
+        assert list(zip(*(f.tolist() for f in bounded._measure(documents)))) == [bounded.measure(d) for d in documents]
+    assert [bounded.measure(d) for d in good] == [(3, 5, 3), (0, 1, 0), (0, 1, 0), (0, 1, 3), (1, 2, 1), (0, 0, 0), (1, 3, 0)]
