@@ -34,7 +34,7 @@ WHERE (ka IS NULL OR kb IS NULL OR (ka NOT IN ('OBJECT', 'ARRAY') AND va <> vb))
 """)
 def json_diff(spark, d):
     docs = _order_documents(spark, d).withColumnRenamed("o_orderkey", "id")
-    out = differences.json_diff(docs.select("id", "doc"), docs.select("id", F.col("next").alias("doc")), "id", "doc", 5)
+    out = differences.paired_diff(docs, "id", "doc", "next", 5)
     return out.select("id", "path", "kind")
 
 
@@ -96,10 +96,11 @@ def address_networks(spark, d):
     nets = addresses.networks(spark.createDataFrame(NETWORKS, "net string, label string"), "net").drop("net")
     six = t(spark, d, "customer").select("c_custkey", _customer_hex(F.col("c_custkey")).alias("hex")).withColumn("address", _spelled(F.col("hex")))
     four = t(spark, d, "supplier").select((-F.col("s_suppkey")).alias("c_custkey"), F.lit(None).cast("string").alias("hex"), F.concat(F.lit("10."), (F.col("s_suppkey") % 256).cast("string"), F.lit(".7.1")).alias("address"))
-    out = addresses.longest_match(six.unionByName(four), "address", nets)
-    value = addresses.number(F.col("address"))
+    valued = addresses.valued(six.unionByName(four), "address", "value")
+    out = addresses.longest_match(valued, "address", nets, "value")
+    value = F.col("value")
     digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return out.select("c_custkey", "bits", "label", addresses.is_public(F.col("address")).alias("is_public"), F.when(F.col("hex").isNotNull(), F.concat(digits(value["hi"]), digits(value["lo"]))).alias("hex"))
+    return out.select("c_custkey", "bits", "label", addresses.public_number(value).alias("is_public"), F.when(F.col("hex").isNotNull(), F.concat(digits(value["hi"]), digits(value["lo"]))).alias("hex"))
 
 
 #: Suffix rules for the hosts of ``pages``: plain ones, one of a vendor, a wildcard and its exception.

@@ -66,3 +66,13 @@ def test_documents_are_measured_together():
     for documents in (good, [*good, b'["', *good], [b"[", *good]):
         assert list(zip(*(f.tolist() for f in bounded._measure(documents)))) == [bounded.measure(d) for d in documents]
     assert [bounded.measure(d) for d in good] == [(3, 5, 3), (0, 1, 0), (0, 1, 0), (0, 1, 3), (1, 2, 1), (0, 0, 0), (1, 3, 0)]
+
+
+def test_documents_of_one_row_are_compared_where_they_stand(spark):
+    from sievewright.operators import differences
+
+    rows = [(1, '{"a":[1,null,{"x":1}],"b":null,"c d":1}', '{"a":[1.0,2,{"x":"1"},4],"c d":{"e":1}}'), (2, "[1]", "[1]"), (3, None, "{}"), (4, "{", None), (5, "[[[1]]]", "[[[2]]]"), (6, '{"a":null}', "{}"), (7, "{}", "[]")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    out = differences.paired_diff(df, "id", "a", "b", 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    assert {tuple(r)[:3] for r in out.collect()} == {(1, "$.a[1]", "changed"), (1, "$.a[2]", "changed"), (1, "$.a[3]", "added"), (1, "$.b", "removed"), (1, '$["c d"]', "changed"), (3, "$", "added"), (5, "$[0][0]", "changed"), (6, "$.a", "removed"), (7, "$", "changed")}
