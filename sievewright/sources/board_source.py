@@ -87,14 +87,14 @@ class BoardStreamReader(DataSourceStreamReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    folder: str
     rows: int
 
 
 class ContentWriter(DataSourceArrowWriter):
     """Bodies by their hash below ``path``, a folder that all machines share: ``ab/cdef...``.
 
-    Tasks write into a folder of their own; the commit moves what is not there yet and writes a record of the write; an abort drops it. A task that is run again, a body that
+    Tasks write into folders of their own, files named by their hash, and tell the driver no more than the folder; the commit moves what is not there yet and writes a record of the write; an abort drops it. A task that is run again, a body that
     comes twice, and a write that is repeated add nothing. A body that does not have the hash it comes with fails the write.
     """
 
@@ -103,33 +103,36 @@ class ContentWriter(DataSourceArrowWriter):
         self.staging = f"{self.path}/_staging/{self.write_id}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        files, rows = {}, 0
+        folder, rows = uuid.uuid4().hex, 0
+        os.makedirs(f"{self.staging}/{folder}", exist_ok=True)
         for batch in iterator:
-            for given, body in zip(batch.column("sha256").to_pylist(), batch.column("body").to_pylist()):
+            for given, body in zip(batch.column("sha256"), batch.column("body")):
+                given, body = given.as_py(), body.as_py()
                 rows += 1
                 digest = hashlib.sha256(body).hexdigest()
                 if given is not None and given != digest:
                     raise ValueError("content_hash_mismatch")
-                if digest not in files and not os.path.exists(self._final(digest)):
-                    os.makedirs(self.staging, exist_ok=True)
-                    files[digest] = f"{self.staging}/{uuid.uuid4().hex}"
-                    with open(files[digest], "wb") as out:
+                staged = f"{self.staging}/{folder}/{digest}"
+                if not os.path.exists(staged) and not os.path.exists(self._final(digest)):
+                    with open(staged, "wb") as out:
                         out.write(body)
-        return Staged(sorted(files.items()), rows)
+        return Staged(folder, rows)
 
     def _final(self, digest: str) -> str:
         return f"{self.path}/{digest[:2]}/{digest[2:]}"
 
     def commit(self, messages: list[Staged | None]) -> None:
         added = 0
-        for digest, staged in (f for m in messages if m for f in m.files):
-            final = self._final(digest)
-            os.makedirs(os.path.dirname(final), exist_ok=True)
-            if os.path.exists(final):
-                os.remove(staged)
-            else:
-                os.replace(staged, final)
-                added += 1
+        for message in filter(None, messages):
+            with os.scandir(f"{self.staging}/{message.folder}") as staged:
+                for file in staged:
+                    final = self._final(file.name)
+                    os.makedirs(os.path.dirname(final), exist_ok=True)
+                    if os.path.exists(final):
+                        os.remove(file.path)
+                    else:
+                        os.replace(file.path, final)
+                        added += 1
         os.makedirs(f"{self.path}/_writes", exist_ok=True)
         with open(f"{self.path}/_writes/{self.write_id}.json", "w") as out:
             json.dump({"rows": sum(m.rows for m in messages if m), "added": added}, out)
@@ -141,8 +144,10 @@ class ContentWriter(DataSourceArrowWriter):
     def _clear(self) -> None:
         """Drop this write's own folder, with what tasks that were run twice left in it."""
         if os.path.isdir(self.staging):
-            for name in os.listdir(self.staging):
-                os.remove(f"{self.staging}/{name}")
+            for folder in os.listdir(self.staging):
+                for name in os.listdir(f"{self.staging}/{folder}"):
+                    os.remove(f"{self.staging}/{folder}/{name}")
+                os.rmdir(f"{self.staging}/{folder}")
             os.rmdir(self.staging)
 
 
@@ -176,9 +181,20 @@ def folder_page(path: str, tenant: str, page: int) -> bytes | None:
 
 
 def stored(spark, path: str):
-    """``sha256, body`` of a content store; its names are checked against the bodies by the caller, if at all."""
-    from pyspark.sql import functions as F
+    """``sha256, body`` of a content store; its names are checked against the bodies by the caller, if at all.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "?" * 62).option("recursiveFileLookup", "true").load(path)
-    parts = F.split("path", "/")
-    return files.select(F.concat(F.element_at(parts, -2), F.element_at(parts, -1)).alias("sha256"), F.col("content").alias("body"))
+    Bodies lie in 256 folders by the first byte of their hash; tasks list these, so no list of files comes to the driver.
+    """
+    root = path.removeprefix("file://")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                folder = f"{root}/{part:02x}"
+                if os.path.isdir(folder):
+                    with os.scandir(folder) as files:
+                        for file in files:
+                            with open(file.path, "rb") as body:
+                                yield pa.RecordBatch.from_arrays([pa.array([f"{part:02x}{file.name}"]), pa.array([body.read()], pa.binary())], ["sha256", "body"])
+
+    return spark.range(0, 256, 1, 64).mapInArrow(read, STORED)

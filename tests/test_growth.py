@@ -76,3 +76,16 @@ def test_documents_of_one_row_are_compared_where_they_stand(spark):
     out = differences.paired_diff(df, "id", "a", "b", 2)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
     assert {tuple(r)[:3] for r in out.collect()} == {(1, "$.a[1]", "changed"), (1, "$.a[2]", "changed"), (1, "$.a[3]", "added"), (1, "$.b", "removed"), (1, '$["c d"]', "changed"), (3, "$", "added"), (5, "$[0][0]", "changed"), (6, "$.a", "removed"), (7, "$", "changed")}
+
+
+def test_a_task_of_the_content_store_tells_its_folder_only(tmp_path):
+    import pyarrow as pa
+
+    from sievewright.sources.board_source import ContentWriter
+
+    writer = ContentWriter({"path": str(tmp_path)})
+    bodies = [str(k % 400).encode() for k in range(500)]
+    message = writer.write(iter([pa.RecordBatch.from_arrays([pa.array([None] * 500, pa.string()), pa.array(bodies)], ["sha256", "body"])]))
+    assert len(pickle.dumps(message)) < 300
+    writer.commit([message, None])
+    assert sum(1 for f in tmp_path.glob("??/*") if f.is_file()) == 400 and not list(tmp_path.glob("_staging/*"))
