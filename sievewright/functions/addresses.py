@@ -72,20 +72,27 @@ def networks(rows: DataFrame, network: str) -> DataFrame:
     return told.select(*rows.columns, F.col("_v.family").alias("family"), F.col("_b").alias("bits"), "_m.hi", "_m.lo")
 
 
-def longest_match(rows: DataFrame, address: str, nets: DataFrame) -> DataFrame:
+def valued(rows: DataFrame, address: str, name: str) -> DataFrame:
+    """``rows`` with the :func:`number` of an address, worked out once a row: filters and later uses see the column, not what makes it."""
+    return rows.withColumn(name, F.explode(F.array(number(F.col(address)))))
+
+
+def longest_match(rows: DataFrame, address: str, nets: DataFrame, value: str | None = None) -> DataFrame:
     """Rows joined to the network with the longest prefix that holds their address; null columns where none does.
 
     ``nets`` as :func:`networks` gives them, one row a network. An address meets networks by equality of (family, bits, masked address) for each prefix
-    length that occurs, of which there are 162 at most; no row is compared with a range.
+    length that occurs, of which there are 162 at most; no row is compared with a range. ``value`` names the addresses' numbers if the rows have them.
     """
     lengths = [r.bits for r in nets.select("bits").distinct().collect()]  # 129 at most
     keys = ["family", "bits", "hi", "lo"]
     extra = [c for c in nets.columns if c not in keys]
-    known = rows.select(address).distinct().withColumn("_v", number(F.col(address))).where("_v is not null")
-    tried = known.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where("bits <= 32 or _v.family = 6")
-    tried = tried.withColumn("_m", masked(F.col("_v"), F.col("bits"))).select(address, F.col("_v.family").alias("family"), "bits", "_m.hi", "_m.lo")
-    best = tried.join(nets, keys).groupBy(address).agg(F.max_by(F.struct("bits", *extra), "bits").alias("_n")).select(F.col(address).alias("_a"), "_n.*")
-    return rows.join(best, F.col(address) == F.col("_a"), "left").drop("_a")
+    given = valued(rows, address, "_v") if value is None else rows.withColumn("_v", F.col(value))
+    given = given.select("*", F.col("_v.family").alias("_f"), F.col("_v.hi").alias("_h"), F.col("_v.lo").alias("_l")).drop("_v")
+    known = given.where("_f is not null").select("_f", "_h", "_l").distinct()
+    tried = known.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where("bits <= 32 or _f = 6")
+    tried = tried.withColumn("_m", masked(F.struct(F.col("_h").alias("hi"), F.col("_l").alias("lo")), F.col("bits"))).select("_f", "_h", "_l", F.col("_f").alias("family"), "bits", "_m.hi", "_m.lo")
+    best = tried.join(nets, keys).groupBy("_f", "_h", "_l").agg(F.max_by(F.struct("bits", *extra), "bits").alias("_n")).select("_f", "_h", "_l", "_n.*")
+    return given.join(best, ["_f", "_h", "_l"], "left").drop("_f", "_h", "_l")
 
 
 def _within(value: Column, network: str) -> Column:
@@ -100,13 +107,15 @@ def _within(value: Column, network: str) -> Column:
 def is_public(address: Column, private: Iterable[str] = PRIVATE_V4 + PRIVATE_V6) -> Column:
     """Whether an address of either family may be asked: false for what is no address, too."""
 
-    def told(value: Column) -> Column:
-        held = F.lit(False)
-        for network in private:
-            held = held | _within(value, network)
-        return ~held & ((value["family"] == 4) | _within(value, GLOBAL_V6))
+    return _let(number(address), lambda value: public_number(value, private))
+
 
-    return F.coalesce(_let(number(address), told), F.lit(False))
+def public_number(value: Column, private: Iterable[str] = PRIVATE_V4 + PRIVATE_V6) -> Column:
+    """:func:`is_public` of an address's :func:`number`."""
+    held = F.lit(False)
+    for network in private:
+        held = held | _within(value, network)
+    return F.coalesce(~held & ((value["family"] == 4) | _within(value, GLOBAL_V6)), F.lit(False))
 
 
 def same_address(a: Column, b: Column) -> Column:

@@ -89,3 +89,15 @@ def test_a_task_of_the_content_store_tells_its_folder_only(tmp_path):
     assert len(pickle.dumps(message)) < 300
     writer.commit([message, None])
     assert sum(1 for f in tmp_path.glob("??/*") if f.is_file()) == 400 and not list(tmp_path.glob("_staging/*"))
+
+
+def test_numbers_of_addresses_are_worked_out_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from sievewright.functions import addresses
+
+    df = spark.createDataFrame([("10.0.0.1",), ("2600::1",), ("x",), (None,)], "a string")
+    out = addresses.valued(df, "a", "v")
+    nets = addresses.networks(spark.createDataFrame([("10.0.0.0/8", "p")], "net string, label string"), "net").drop("net")
+    got = {r.a: (r.label, r.p) for r in addresses.longest_match(out, "a", nets, "v").withColumn("p", addresses.public_number(F.col("v"))).collect()}
+    assert got == {"10.0.0.1": ("p", False), "2600::1": (None, True), "x": (None, False), None: (None, False)}
