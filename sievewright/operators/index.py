@@ -25,8 +25,8 @@ def _bucket(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, words`` -> ``id, term, positions``, some texts at a time: words are numbered, and sorted by text and number, so that a word's places stand together."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, words`` -> ``term, ids, ends, positions``, some texts at a time: words are numbered, and sorted by number and text, so that a word's texts and places stand together."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
         first = 0
@@ -41,20 +41,40 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-            code = terms.indices.to_numpy(zero_copy_only=False)
-            key = text * len(terms.dictionary) + code
+            key = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sizes) + text
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
-            heads = order[starts]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text[heads])), terms.dictionary.take(pa.array(code[heads])), places], ["id", "term", "positions"])
+            code, held = np.divmod(key[order[starts]], len(sizes))
+            heads = np.flatnonzero(np.r_[True, np.diff(code) != 0])
+            stops, froms = np.r_[starts[1:], len(order)], np.repeat(starts[heads], np.diff(np.r_[heads, len(starts)]))
+            by_text, by_place = pa.array(np.r_[heads, len(starts)].astype(np.int32)), pa.array(np.r_[starts[heads], len(order)].astype(np.int32))
+            columns = [
+                terms.dictionary.take(pa.array(code[heads])),
+                pa.ListArray.from_arrays(by_text, part.column("id").take(pa.array(held))),
+                pa.ListArray.from_arrays(by_text, pa.array((stops - froms).astype(np.int32))),
+                pa.ListArray.from_arrays(by_place, pa.array(at[order].astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "ends", "positions"])
+
+
+def posting_blocks(docs: DataFrame, identity: str, text: Column) -> DataFrame:
+    """``term, ids, ends, positions``: a row for each word of some texts that stand together, with the texts that hold it and its places in them, one text's after
+    another's, and where a text's places end. No row is a whole term's list, and rows are made where the texts are."""
+    told = docs.select(F.col(identity).alias("id"), words(text).alias("words"))
+    kind = told.schema["id"].dataType.simpleString()
+    return told.mapInArrow(_blocks, f"term string, ids array<{kind}>, ends array<int>, positions array<int>")
+
+
+def opened(blocks: DataFrame) -> DataFrame:
+    """Blocks -> ``id, term, positions``, a row for each text."""
+    start = lambda k: F.when(k == 0, 0).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
+    places = lambda i, k: F.struct(i.alias("id"), F.slice("positions", start(k) + 1, F.element_at("ends", k + 1) - start(k)).alias("positions"))
+    return blocks.select("term", F.inline(F.transform("ids", places))).select("id", "term", "positions")
 
 
 def postings(docs: DataFrame, identity: str, text: Column) -> DataFrame:
-    """``id, term, positions``: a row for each word of a text, its places counted from 1. No row is a whole term's list, and a text's rows are made where the text is."""
-    told = docs.select(F.col(identity).alias("id"), words(text).alias("words"))
-    kind = told.schema["id"].dataType.simpleString()
-    return told.mapInArrow(_placed, f"id {kind}, term string, positions array<int>")
+    """``id, term, positions``: a row for each word of a text, its places counted from 1."""
+    return opened(posting_blocks(docs, identity, text))
 
 
 def gram_postings(docs: DataFrame, identity: str, name: Column) -> DataFrame:
@@ -68,7 +88,7 @@ def _store(df: DataFrame, term: str, path: str, mode: str) -> None:
 
     Rows stay where their texts are: nothing is shuffled, and a term that most texts hold is spread as the texts are.
     """
-    df.withColumn("bucket", _bucket(F.col(term))).sortWithinPartitions("bucket", term, "id").write.mode(mode).partitionBy("bucket").parquet(path)
+    df.withColumn("bucket", _bucket(F.col(term))).sortWithinPartitions("bucket", term).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 class SearchIndex:
@@ -79,7 +99,7 @@ class SearchIndex:
 
     def add(self, docs: DataFrame, identity: str, text: Column, name: Column | None = None) -> SearchIndex:
         """Index texts, and names by trigrams. Ids must not be in the index yet; null texts have no words and are found by negations only."""
-        _store(postings(docs, identity, text), "term", f"{self.root}/postings", "append")
+        _store(posting_blocks(docs, identity, text), "term", f"{self.root}/postings", "append")
         if name is not None:
             _store(gram_postings(docs, identity, name), "gram", f"{self.root}/grams", "append")
         docs.select(F.col(identity).alias("id"), F.coalesce(F.size(words(text)), F.lit(0)).alias("tokens")).write.mode("append").parquet(f"{self.root}/texts")
@@ -91,14 +111,14 @@ class SearchIndex:
 
     def statistics(self, terms: list[str]) -> DataFrame:
         """``term, texts, occurrences`` of some terms."""
-        return self._read("postings", "term", terms).groupBy("term").agg(F.count("*").alias("texts"), F.sum(F.size("positions")).alias("occurrences"))
+        return self._read("postings", "term", terms).groupBy("term").agg(F.sum(F.size("ids")).alias("texts"), F.sum(F.size("positions")).alias("occurrences"))
 
     def search(self, q: str) -> DataFrame:
         """``id, relevance`` of the texts that match a web query; only the folders of its words are read, unless a text may match by lacking words."""
         groups, terms = parse_web_query(q), query_terms(q)
         if not terms:
             return self.spark.createDataFrame([], "relevance double").join(self.spark.read.parquet(f"{self.root}/texts").select("id").limit(0))
-        found = by_term(self._read("postings", "term", terms), terms)
+        found = by_term(opened(self._read("postings", "term", terms)), terms)
         if any(all(minus for minus, _ in group) for group in groups):
             found = self.spark.read.parquet(f"{self.root}/texts").select("id").join(found, "id", "left")
         return judge(found, q)

@@ -101,3 +101,31 @@ def test_numbers_of_addresses_are_worked_out_once_a_row(spark):
     nets = addresses.networks(spark.createDataFrame([("10.0.0.0/8", "p")], "net string, label string"), "net").drop("net")
     got = {r.a: (r.label, r.p) for r in addresses.longest_match(out, "a", nets, "v").withColumn("p", addresses.public_number(F.col("v"))).collect()}
     assert got == {"10.0.0.1": ("p", False), "2600::1": (None, True), "x": (None, False), None: (None, False)}
+
+
+def test_postings_are_stored_in_blocks(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import index
+    from sievewright.plans import indexes
+
+    texts = spark.createDataFrame([(k, "a b a " * (k % 3) + "c") for k in range(200)], "id long, t string").coalesce(1)
+    made = index.SearchIndex(spark, f"file://{tmp_path}/one").add(texts, "id", F.col("t"))
+    assert spark.read.parquet(f"file://{tmp_path}/one/postings").count() == 3
+    assert sorted(map(tuple, made.statistics(["a", "b", "c"]).collect())) == [("a", 133, 398), ("b", 133, 199), ("c", 200, 200)]
+    monkeypatch.setattr(index, "AT_ONCE", 4)
+    got = {(r["id"], r.term): r.positions for r in index.opened(spark.createDataFrame(list(_cut_blocks(index)), "term string, ids array<long>, ends array<int>, positions array<int>")).collect()}
+    assert got == {(7, "x"): [1, 3], (7, "y"): [2], (8, "x"): [1], (9, "y"): [1, 2, 3, 4, 5]}
+    monkeypatch.setattr(indexes, "shared_folder", lambda _: f"file://{tmp_path}/two")
+    indexes.index_search_any(spark, sf)
+    assert (tmp_path / "two/postings").exists() and not (tmp_path / "two/grams").exists()
+
+
+def _cut_blocks(index):
+    """Blocks of no more than AT_ONCE words, or of one text."""
+    import pyarrow as pa
+
+    words = [["x", "y", "x"], ["x"], None, [], ["y"] * 5]
+    blocks = list(index._blocks(iter([pa.RecordBatch.from_arrays([pa.array([7, 8, 5, 6, 9]), pa.array(words, pa.list_(pa.string()))], ["id", "words"])])))
+    assert len(blocks) == 2
+    return (tuple(r.values()) for b in blocks for r in b.to_pylist())
