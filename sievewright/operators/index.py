@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ def _bucket(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, words`` -> ``term, ids, ends, positions``, some texts at a time: words are numbered, and sorted by number and text, so that a word's texts and places stand together."""
+def _blocks(batches: Iterator[pa.RecordBatch], places: bool = True) -> Iterator[pa.RecordBatch]:
+    """``id, words`` -> ``term, ids, ends, positions``, some texts at a time: words are numbered, and sorted by number and text, so that a word's texts and places stand together.
+
+    Without places: ``term, ids, sizes``, the number of words of each of these texts.
+    """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
         first = 0
@@ -46,15 +50,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
             code, held = np.divmod(key[order[starts]], len(sizes))
             heads = np.flatnonzero(np.r_[True, np.diff(code) != 0])
-            stops, froms = np.r_[starts[1:], len(order)], np.repeat(starts[heads], np.diff(np.r_[heads, len(starts)]))
-            by_text, by_place = pa.array(np.r_[heads, len(starts)].astype(np.int32)), pa.array(np.r_[starts[heads], len(order)].astype(np.int32))
-            columns = [
-                terms.dictionary.take(pa.array(code[heads])),
-                pa.ListArray.from_arrays(by_text, part.column("id").take(pa.array(held))),
-                pa.ListArray.from_arrays(by_text, pa.array((stops - froms).astype(np.int32))),
-                pa.ListArray.from_arrays(by_place, pa.array(at[order].astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "ends", "positions"])
+            by_text = pa.array(np.r_[heads, len(starts)].astype(np.int32))
+            columns = {"term": terms.dictionary.take(pa.array(code[heads])), "ids": pa.ListArray.from_arrays(by_text, part.column("id").take(pa.array(held)))}
+            if places:
+                stops, froms = np.r_[starts[1:], len(order)], np.repeat(starts[heads], np.diff(np.r_[heads, len(starts)]))
+                columns["ends"] = pa.ListArray.from_arrays(by_text, pa.array((stops - froms).astype(np.int32)))
+                columns["positions"] = pa.ListArray.from_arrays(pa.array(np.r_[starts[heads], len(order)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            else:
+                columns["sizes"] = pa.ListArray.from_arrays(by_text, pa.array(sizes[held].astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def posting_blocks(docs: DataFrame, identity: str, text: Column) -> DataFrame:
@@ -77,10 +81,11 @@ def postings(docs: DataFrame, identity: str, text: Column) -> DataFrame:
     return opened(posting_blocks(docs, identity, text))
 
 
-def gram_postings(docs: DataFrame, identity: str, name: Column) -> DataFrame:
-    """``id, gram, grams``: a row for each trigram of a name, with the number of the name's trigrams."""
-    cut = docs.select(F.col(identity).alias("id"), trigrams(name).alias("g"))
-    return cut.select("id", F.explode("g").alias("gram"), F.size("g").alias("grams"))
+def gram_blocks(docs: DataFrame, identity: str, name: Column) -> DataFrame:
+    """``gram, ids, grams``: a row for each trigram of some names that stand together, with the names that hold it and the number of trigrams of each."""
+    cut = docs.select(F.col(identity).alias("id"), trigrams(name).alias("words"))
+    kind = cut.schema["id"].dataType.simpleString()
+    return cut.mapInArrow(partial(_blocks, places=False), f"term string, ids array<{kind}>, sizes array<int>").toDF("gram", "ids", "grams")
 
 
 def _store(df: DataFrame, term: str, path: str, mode: str) -> None:
@@ -97,12 +102,13 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def add(self, docs: DataFrame, identity: str, text: Column, name: Column | None = None) -> SearchIndex:
-        """Index texts, and names by trigrams. Ids must not be in the index yet; null texts have no words and are found by negations only."""
-        _store(posting_blocks(docs, identity, text), "term", f"{self.root}/postings", "append")
+    def add(self, docs: DataFrame, identity: str, text: Column | None = None, name: Column | None = None) -> SearchIndex:
+        """Index texts by words, names by trigrams, or both. Ids must not be in the index yet; null texts have no words and are found by negations only."""
         if name is not None:
-            _store(gram_postings(docs, identity, name), "gram", f"{self.root}/grams", "append")
-        docs.select(F.col(identity).alias("id"), F.coalesce(F.size(words(text)), F.lit(0)).alias("tokens")).write.mode("append").parquet(f"{self.root}/texts")
+            _store(gram_blocks(docs, identity, name), "gram", f"{self.root}/grams", "append")
+        if text is not None:
+            _store(posting_blocks(docs, identity, text), "term", f"{self.root}/postings", "append")
+            docs.select(F.col(identity).alias("id"), F.coalesce(F.size(words(text)), F.lit(0)).alias("tokens")).write.mode("append").parquet(f"{self.root}/texts")
         return self
 
     def _read(self, table: str, term: str, wanted: list[str]) -> DataFrame:
@@ -126,9 +132,7 @@ class SearchIndex:
     def similar(self, name: str, least: float = FUZZY) -> DataFrame:
         """``id, score`` of the names whose trigrams are alike enough, from the query's trigrams alone."""
         wanted = [r[0] for r in self.spark.range(1).select(F.explode(trigrams(F.lit(name)))).collect()]  # of one query
-        if not wanted:
-            return self.spark.createDataFrame([], "score double").join(self.spark.read.parquet(f"{self.root}/grams").select("id").limit(0))
-        hits = self._read("grams", "gram", wanted).groupBy("id").agg(F.count("*").alias("n"), F.max("grams").alias("grams"))
+        hits = self._read("grams", "gram", wanted).select(F.inline(F.arrays_zip("ids", "grams"))).toDF("id", "grams").groupBy("id").agg(F.count("*").alias("n"), F.max("grams").alias("grams"))
         return hits.select("id", F.round(F.col("n") / (F.col("grams") + len(wanted) - F.col("n")), 4).alias("score")).where(F.col("score") >= least)
 
 

@@ -129,3 +129,20 @@ def _cut_blocks(index):
     blocks = list(index._blocks(iter([pa.RecordBatch.from_arrays([pa.array([7, 8, 5, 6, 9]), pa.array(words, pa.list_(pa.string()))], ["id", "words"])])))
     assert len(blocks) == 2
     return (tuple(r.values()) for b in blocks for r in b.to_pylist())
+
+
+def test_names_are_indexed_alone_and_in_blocks(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import index
+    from sievewright.plans import indexes
+
+    names = [(k, None if k % 5 == 4 else "ab " * (k % 3) + "ab c") for k in range(100)]
+    made = index.SearchIndex(spark, f"file://{tmp_path}/one").add(spark.createDataFrame(names, "id long, t string").coalesce(1), "id", name=F.col("t"))
+    assert spark.read.parquet(f"file://{tmp_path}/one/grams").count() == 5  # "  a", " ab", "ab ", "  c", " c "
+    assert sorted(map(tuple, made.similar("ab", 0.1).collect())) == [(k, 0.6) for k in range(100) if k % 5 != 4] and made.similar("...").collect() == []
+    monkeypatch.setattr(indexes, "shared_folder", lambda _: f"file://{tmp_path}/two")
+    got = indexes.index_similar(spark, sf).count()
+    assert got and {p.name for p in (tmp_path / "two").iterdir()} == {"grams"}
+    both = index.SearchIndex(spark, f"file://{tmp_path}/three").add(indexes._texts(spark, sf), "doc_id", F.col("text"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
+    assert both.similar("The hand of the stone was there", 0.1).count() == got
