@@ -2,56 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import dice, jaccard
-from sievewright.storage import written
+from sievewright.operators import sketches
+from sievewright.storage import small_or_joined, written
 
 NAME_REVIEW, TITLE_REVIEW = 0.65, 0.6
 
 
-#: Longs of a set's parities: a bit tells whether an odd number of its elements fall to it.
-_PARITIES = 8
-
-
-def similar_pairs(df: DataFrame, identity: str, elements: str, least: float, measure: str = "dice", scope: list[str] | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, identity: str, elements: str | Column, least: float, measure: str = "dice", scope: list[str] | None = None) -> DataFrame:
     """Pairs ``(a, b, score)``, a < b, whose sets score at least ``least``.
 
-    Equal sets are one class, and classes meet. With elements ordered by rarity, and those of a single class left out, two sets that reach the score share an element among
-    the rarest few: of the smaller set by what it shares with one of its size, of the larger by what it shares with the smallest that can reach it. A meeting counts only if what follows both
-    places is long enough, and if the parities of the two sets differ in no more bits than the sets may in elements. All this is told within the join, so that few pairs leave it; these are compared in full.
+    Equal sets are one class, and classes meet, each pair of them once: first their sketches, in tiles of two blocks of like sizes, then the sets of the few pairs that these leave, in the same tiles.
+    Sets (``elements``, a column or what makes it) are worked out again for these, so that only keys, sizes and sketches of all of them are written and moved. Work grows with the square of the number of different sets
+    of like size, some nanoseconds a pair; what is moved stays a few times the sketches, and a task holds two blocks' share.
     """
     scope = scope or []
     floor = least - 5e-5  # scores have four decimals
     part = floor / 2 if measure == "dice" else floor / (1 + floor)
-    rows = df.select(F.col(identity).alias("id"), *scope, F.array_sort(elements).alias("set")).where(F.size("set") > 0).dropna(subset=["id", *scope])
-    rows = written(rows.withColumn("c", F.min("id").over(W.partitionBy(*scope, "set"))))
-    classes, members = rows.where("id = c").select("c", *scope, "set"), rows.select("id", "c")
-    terms = classes.select("c", *scope, F.size("set").alias("n"), F.explode("set").alias("e"))
-    often = terms.groupBy(*scope, "e").agg(F.count("*").alias("df")).where("df > 1")
-    slot = F.xxhash64("e").bitwiseAND(F.lit(64 * _PARITIES - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    parities = [F.bit_xor(F.when(F.floor(slot / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(_PARITIES)]
-    known = terms.join(often, [*scope, "e"]).groupBy("c", *scope, "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"), F.count("*").cast("int").alias("k"), *parities)
-
-    def side(name: str, share: float) -> DataFrame:
-        first = F.slice("es", F.lit(1), F.col("k") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
-        cut = known.where(F.col("k") >= F.ceil(F.col("n") * share - 1e-9)).select("c", *scope, "n", "k", *[f"p{i}" for i in range(_PARITIES)], F.posexplode(first).alias("at", "x"))
-        return cut.select(*scope, F.col("x.e").alias("e"), *[F.col(c).alias(f"{c}_{name}") for c in cut.columns if c not in (*scope, "x")])
-
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * part - 1e-9)
-    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(_PARITIES)), F.lit(0))
-    met = side("a", part / (1 - part)).join(side("b", 2 * part), [*scope, "e"])
-    met = met.where((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b"))))
-    met = met.where((F.least(F.col("k_a") - F.col("at_a"), F.col("k_b") - F.col("at_b")) >= need) & (apart <= F.col("k_a") + F.col("k_b") - 2 * need))
-    pairs = met.select("c_a", "c_b").distinct()
-    left, right = (classes.select(F.col("c").alias(f"c_{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
-    score = (dice if measure == "dice" else jaccard)(F.col("sa"), F.col("sb"))
-    pairs = pairs.join(left, "c_a").join(right, "c_b").select("c_a", "c_b", score.alias("score")).where(F.col("score") >= least)
+    sets = lambda some: some.select(F.col(identity).alias("id"), *scope, F.sort_array(elements).alias("set"))
+    key = F.unhex(F.sha2(F.to_json(F.struct(*scope, "set")), 256)).alias("c")
+    rows = written(sets(df.dropna(subset=[identity, *scope])).select("id", *scope, key, F.size("set").alias("n"), sketches.sketch(F.col("set")).alias("p"))).where("n > 0")
+    classes = written(rows.groupBy("c", *scope).agg(F.any_value("n").alias("n"), F.any_value("p").alias("p"), F.min("id").alias("id")))
+    near = written(sketches.near_pairs(classes.drop("id"), scope, part))
+
+    asked = near.select(F.col("c_a").alias("c")).unionByName(near.select(F.col("c_b").alias("c"))).distinct()
+    asked = written(classes.select("c", "id").join(asked, "c", "left_semi").select(F.col("id").alias(identity)).distinct())
+    shown = sets(df.join(small_or_joined(asked), identity, "left_semi")).select(key, "set").dropDuplicates(["c"])
+    n, shared = F.col("n_a") + F.col("n_b"), F.col("shared")
+    score = F.round(2 * shared / n if measure == "dice" else shared / (n - shared), 4)
+    pairs = sketches.shared_elements(near, shown).select("c_a", "c_b", score.alias("score")).where(F.col("score") >= least)
+    members = rows.select("id", "c")
     mine, theirs = (members.select(F.col("id").alias(i), F.col("c").alias(f"c_{x}")) for i, x in (("i", "a"), ("j", "b")))
-    unlike = pairs.join(mine, "c_a").join(theirs, "c_b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "score")
+    unlike = pairs.join(mine, "c_a").join(theirs, "c_b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "score")
     alike = mine.join(theirs, F.col("c_a") == F.col("c_b")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("score"))
     return unlike.unionByName(alike)
 

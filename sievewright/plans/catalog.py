@@ -520,8 +520,8 @@ FROM l a JOIN l b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.s) > 0 AN
 WHERE round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 4) >= 0.6
 """)
 def title_jaccard(spark, d):
-    titles = t(spark, d, "documents").select("doc_id", "lang", text.word_set(F.col("text")).alias("s"))
-    return resolve.similar_pairs(titles, "doc_id", "s", resolve.TITLE_REVIEW, "jaccard", ["lang"])
+    titles = t(spark, d, "documents").select("doc_id", "lang", "text")
+    return resolve.similar_pairs(titles, "doc_id", text.word_set(F.col("text")), resolve.TITLE_REVIEW, "jaccard", ["lang"])
 
 
 @query("""

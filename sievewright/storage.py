@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -34,6 +35,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_joined(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A narrow table of :func:`written`, marked for broadcast if it has no more than ``rows`` rows; larger ones are joined by shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 class CommitConflict(RuntimeError):
     """Another commit came first: read again and fold anew."""
 

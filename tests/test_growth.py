@@ -146,3 +146,46 @@ def test_names_are_indexed_alone_and_in_blocks(spark, sf, tmp_path, monkeypatch)
     assert got and {p.name for p in (tmp_path / "two").iterdir()} == {"grams"}
     both = index.SearchIndex(spark, f"file://{tmp_path}/three").add(indexes._texts(spark, sf), "doc_id", F.col("text"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
     assert both.similar("The hand of the stone was there", 0.1).count() == got
+
+
+def test_sets_meet_by_sketches_in_tiles(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import resolve, sketches
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(90)]
+    sets = {k: rng.sample(words, rng.choice([1, 2, 5, 17, 40, 60])) for k in range(240)}
+    sets |= {k + 240: sorted({*sets[k][1:], rng.choice(words)}) for k in range(0, 240, 3)} | {900: [], 901: None, 902: sets[5]}
+    rows = [(k, None if k % 50 == 7 else "xy"[k % 2], s) for k, s in sets.items()] + [(5, "y", sets[8]), (5, "y", sets[5])]
+    kept, old = [], resolve.written
+    for module in (resolve, sketches):
+        monkeypatch.setattr(module, "written", lambda df: kept.append(df) or old(df))
+    monkeypatch.setattr(sketches, "LEAST_SETS", 8)
+    df = spark.createDataFrame(rows, "id int, g string, s array<string>")
+    for measure, least in (("jaccard", 0.6), ("dice", 0.65)):
+        score = lambda a, b: round(len(a & b) / len(a | b) if measure == "jaccard" else 2 * len(a & b) / (len(a) + len(b)), 4)  # noqa: B023, E731
+        want = sorted((i, j, score({*a}, {*b})) for i, g, a in rows for j, h, b in rows if i < j and g == h and g and a and b and score({*a}, {*b}) >= least)
+        assert sorted(map(tuple, resolve.similar_pairs(df, "id", F.col("s"), least, measure, ["g"]).collect())) == want and len(want) > 50
+    # no set is written, and several tiles were made
+    assert not any(kind.startswith("array") for k in kept for _, kind in k.dtypes) and max(k.count() for k in kept if "tile" in k.columns and "a" in k.columns) > 8
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements(spark):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sievewright.operators import sketches
+
+    rng = random.Random(1)
+    sets = [[], None, *[[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 16, 17, 300, 5_000)]]
+    sets += [sets[-1][:4_000] + [7, 8], sets[-2][:250]]
+    got = [np.frombuffer(b, np.uint64) for b in sketches._parities(pa.array(sets, pa.list_(pa.int64()))).to_pylist()]
+    assert [len(g) for g in got] == [1, 1, 1, 1, 2, 32, 512, 256, 16]
+    apart = lambda i, j, w: int(np.bitwise_count(sketches._folded(got[i], w) ^ sketches._folded(got[j], w)).sum())
+    assert apart(6, 7, 256) <= 1_002 and apart(6, 7, 1) <= 64 and 40 <= apart(5, 8, 16) <= 50 and apart(0, 1, 1) == 0
+    assert apart(5, 6, 32) > 500
