@@ -37,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def small_or_joined(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """A narrow table of :func:`written`, marked for broadcast if it has no more than ``rows`` rows; larger ones are joined by shuffle."""
-    return F.broadcast(table) if table.count() <= rows else table
+    return F.broadcast(table) if table.count() <= rows else table.hint("merge")
 
 
 class CommitConflict(RuntimeError):

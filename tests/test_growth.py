@@ -189,3 +189,36 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_elements(spark):
     apart = lambda i, j, w: int(np.bitwise_count(sketches._folded(got[i], w) ^ sketches._folded(got[j], w)).sum())
     assert apart(6, 7, 256) <= 1_002 and apart(6, 7, 1) <= 64 and 40 <= apart(5, 8, 16) <= 50 and apart(0, 1, 1) == 0
     assert apart(5, 6, 32) > 500
+
+
+def _broadcast(plan):
+    """What a plan broadcasts: each exchange with what lies below it."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            yield "\n".join(lines[k:end])
+
+
+def test_no_sets_are_broadcast_for_their_size_on_disk(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sievewright.functions import text
+    from sievewright.operators import matching
+
+    # little on disk, far more once names are opened
+    names = lambda n, head, i: spark.range(n).select(F.col("id").alias(i), text.bigrams(F.concat(F.lit(head), F.format_string("%09d", "id"))).alias("set"))
+    plans, old = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or old(df))
+    out = matching.similar_classes(names(30, "customer company ", "a"), names(5_000, "company incorporated ", "b"), [], 0.65, "dice")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    sent = [b for p in plans for b in _broadcast(p)]
+    assert sent and not any("set#" in b for b in sent)
+
+
+def test_candidates_are_not_worked_out_for_decisions(spark, monkeypatch):
+    from sievewright.plans import matching
+
+    monkeypatch.setattr(matching.matching, "similar_across", lambda *a: 1 / 0)
+    assert matching.company_matching(spark, "/root/testdata/sf0.001").count() > 0
