@@ -74,14 +74,17 @@ def paired_diff(pairs: DataFrame, identity: str, baseline: str, candidate: str,
         step = F.when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("key").isNull(), "").when(F.col("key").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), quoted, F.lit("]")))
         place = F.when(F.coalesce("key", F.col("pos").cast("string")).isNull(), F.col("place")).otherwise(F.concat("place", F.lit("\x01"), F.coalesce("key", F.lpad(F.col("pos").cast("string"), 10, "0"))))
         rows = rows.select(identity, F.concat("path", step).alias("path"), place.alias("place"), "a", "b")
-    told = rows.select(identity, "path", "place", F.to_json("a").alias("text_a"), F.to_json("b").alias("text_b"))
+    # texts come out of a generator: nothing that asks for them below makes them again
+    texts = F.explode(F.array(F.struct(F.to_json("a").alias("text_a"), F.to_json("b").alias("text_b"))))
+    told = rows.select(identity, "path", "place", texts.alias("t")).select(identity, "path", "place", "t.*")
     kind_a, kind_b = _kind(F.col("text_a")), _kind(F.col("text_b"))
     number = lambda c: F.col(c).cast("double")
     # what the last level left closed is compared whole
     same = (kind_a == kind_b) & F.when(kind_a == "number", number("text_a") == number("text_b")).otherwise(F.col("text_a") == F.col("text_b"))
     change = F.when(F.col("text_a").isNull() & F.col("text_b").isNull(), None).when(F.col("text_a").isNull(), "added").when(F.col("text_b").isNull(), "removed").when(~same, "changed")
     found = told.withColumn("kind", change).where("kind is not null")
-    first = found.withColumn("_n", F.row_number().over(W.partitionBy(identity).orderBy("place"))).where(F.col("_n") <= most)
+    # a running count: a rank would be cut before the shuffle as well, by a sort of its own that leaves out next to nothing
+    first = found.withColumn("_n", F.count("*").over(W.partitionBy(identity).orderBy("place").rowsBetween(W.unboundedPreceding, 0))).where(F.col("_n") <= most)
     return first.select(identity, "path", "kind", F.col("text_a").alias("baseline"), F.col("text_b").alias("candidate"))
 
 

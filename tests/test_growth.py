@@ -222,3 +222,12 @@ def test_candidates_are_not_worked_out_for_decisions(spark, monkeypatch):
 
     monkeypatch.setattr(matching.matching, "similar_across", lambda *a: 1 / 0)
     assert matching.company_matching(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_texts_of_differences_are_made_once(spark):
+    from sievewright.operators import differences
+
+    df = spark.createDataFrame([(1, "[1,2]", "[1,3]")], "id int, a string, b string")
+    run = differences.paired_diff(df, "id", "a", "b", 1)._jdf.queryExecution()
+    found = run.optimizedPlan().toString().split("Generate")[0]  # what lies above the last generator
+    assert "Json" not in found and "json" not in found and "WindowGroupLimit" not in run.executedPlan().toString()
